@@ -5,7 +5,8 @@ a worker), followed by id 0, and cut into pieces of at most LIMIT tokens. Only t
 LIMIT numbers at most, goes to the driver. There the configuration LP (a variable for each multiset of lengths that fits
 a sequence) is solved by multiplicative weights: a knapsack dynamic program prices the best configuration under the
 lengths' weights, and the weights of covered lengths fall. Rounded down, the solution's configurations never use more
-pieces than exist; what is left is packed from the histogram by best fit decreasing.
+pieces than exist; what is left is packed from the histogram by best fit decreasing. Small counts round badly: of some
+shares of the solution the one that ends in the fewest sequences is rounded.
 
 The plan gives each length runs of (rank, first sequence, offset). A piece's rank among those of its length is counted in
 two steps, in salted groups of at most about GROUP rows, so that a length with a third of all pieces is never in one task.
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import stored
 
 LIMIT, ROUNDS, RATE, GROUP = 2048, 300, 0.3, 50_000
+#: Shares of the LP solution that rounding tries; the fewest sequences win.
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.0)
 #: Chunks that a worker keeps, about 200 bytes each.
 CACHE = 3 << 18
 
@@ -163,7 +166,8 @@ def solve(counts: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -> l
     some = have > 0
     if some.any():
         # Covering by multiplicative weights: a configuration is taken in proportion to what it can cover at most.
-        weight, use = np.where(some, 1.0 / np.maximum(have, 1), 0.0), {}
+        # The first weights are a little over proportional to size: full sequences of large pieces are priced first.
+        weight, use = np.where(some, (np.arange(limit + 1) / limit) ** 1.05, 0.0), {}
         total = float((have * np.arange(limit + 1)).sum())
         for _ in range(rounds):
             config = _best_configuration(weight / weight.sum(), have, limit)
@@ -173,13 +177,21 @@ def solve(counts: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -> l
             for s, k in config.items():
                 weight[s] *= 1 - RATE * k * step / have[s]
         scale = total / max(sum(n * sum(s * k for s, k in c) for c, n in use.items()), 1e-9)
-        for config, n in sorted(use.items(), key=lambda x: (-sum(s * k for s, k in x[0]), -x[1], x[0])):
-            m = min(int(n * min(scale, 1.0)), *(int(have[s]) // k for s, k in config))
-            if m > 0:
-                plan.append((tuple(s for s, k in config for _ in range(k)), m))
-                for s, k in config:
-                    have[s] -= m * k
-    return plan + best_fit(have, limit)
+        order = sorted(use.items(), key=lambda x: (-sum(s * k for s, k in x[0]), -x[1], x[0]))
+        return plan + min((_rounded(order, min(scale, 1.0) * share, have, limit) for share in SHARES), key=lambda rounded: sum(n for _, n in rounded))
+    return plan
+
+
+def _rounded(order: list, share: float, have: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
+    """The share of each configuration's use, rounded down, and best fit for what that leaves."""
+    left, out = have.copy(), []
+    for config, n in order:
+        m = min(int(n * share), *(int(left[s]) // k for s, k in config))
+        if m > 0:
+            out.append((tuple(s for s, k in config for _ in range(k)), m))
+            for s, k in config:
+                left[s] -= m * k
+    return out + best_fit(left, limit)
 
 
 def best_fit(have: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:

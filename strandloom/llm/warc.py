@@ -91,7 +91,6 @@ def inflate(stream) -> Iterator[bytes]:
             if z.eof:
                 z = zlib.decompressobj(31)
             yield z.decompress(block, 4 * BLOCK)
-            yield z.decompress(block, 4 * BLOCK)
             block = z.unconsumed_tail or z.unused_data
     yield z.flush()
     if not z.eof:
