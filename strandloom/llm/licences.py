@@ -130,5 +130,5 @@ def licence_table(docs: DataFrame) -> DataFrame:
     return df.select(
         "doc_id", "n_words", sum(n[1:], n[0]).cast("long").alias("n_base"), F.least(*first).cast("long").alias("first_word"), F.greatest(*last).cast("long").alias("last_word"),
         F.array_join(F.array_sort(labels), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(labels, F.transform("_found", lambda x: x["label"]))), ",").alias("labels"),
-        F.when(F.size(labels) > 0, F.lit(1.0)).otherwise(F.coalesce(F.least(F.array_max(shares), F.lit(1.0)), F.lit(0.0))).alias("score"),
+        F.when(F.size(labels) > 0, F.lit(1.0)).otherwise(F.least(F.coalesce(F.array_max(shares), F.lit(0.0)), F.lit(1.0))).alias("score"),
     )
