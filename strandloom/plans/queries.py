@@ -215,7 +215,7 @@ CAST(greatest(p75 + 3 * (p75 - p25), floor(mean + 4 * std + 0.499)) AS BIGINT) A
 p AS (SELECT a.pair_id, a.score + b.score AS score, row_number() OVER (PARTITION BY a.pair_id ORDER BY a.score + b.score DESC, a.contig, a.pos, b.pos) AS r FROM l a JOIN l b ON a.pair_id = b.pair_id AND a.contig = b.contig AND a.strand <> b.strand AND a.mate = 1 AND b.mate = 0 AND abs(b.pos - a.pos) BETWEEN 50 AND 600),
 t AS (SELECT *, max(CASE WHEN r = 2 THEN score END) OVER (PARTITION BY pair_id) AS sec FROM p)
 SELECT pair_id, max(score) AS best, coalesce(max(sec), 0) AS second, count(*) FILTER (WHERE r > 2 AND sec - score <= 7) AS n_sub FROM t GROUP BY pair_id""",
-        "xa_groups": f"""WITH {REGIONS_SQL}, c AS (SELECT s.read_id, s.prim, s.region_id, s.is_alt FROM regions s JOIN regions p ON p.read_id = s.read_id AND p.region_id = s.prim AND p.prim IS NULL WHERE CAST(s.score AS DOUBLE) >= CAST(p.score * CAST(0.8 AS FLOAT) AS DOUBLE))
+        "xa_groups": f"""WITH {REGIONS_SQL}, c AS (SELECT s.read_id, s.prim, s.region_id, s.is_alt FROM regions s JOIN regions p ON p.read_id = s.read_id AND p.region_id = s.prim AND p.prim IS NULL WHERE CAST(s.score AS FLOAT) >= CAST(p.score AS FLOAT) * CAST(0.8 AS FLOAT))
 SELECT read_id, prim AS "primary", count(*) AS n, string_agg(CAST(region_id AS VARCHAR), ';' ORDER BY region_id) AS hits FROM c GROUP BY ALL HAVING count(*) <= 3 OR (bool_or(is_alt) AND count(*) <= 200)""",
         "mapq_se": f"""WITH x AS (SELECT l_orderkey, l_linenumber, {li} + 60 AS span, {li} + 60 - l_partkey % 40 AS score, l_suppkey, l_partkey % 8 / 8.0::DOUBLE AS frac FROM lineitem),
 y AS (SELECT *, CASE WHEN l_suppkey % 3 = 0 THEN 19 ELSE greatest(score - l_suppkey % 30, 0) END AS b0, CASE WHEN l_suppkey % 3 = 0 OR score - l_suppkey % 30 = 0 THEN 19 ELSE score - l_suppkey % 30 END AS b, CAST(span + 1 AS DOUBLE) AS l FROM x),
