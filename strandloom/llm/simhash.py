@@ -34,23 +34,32 @@ BLOCKS = (11, 11, 11, 11, 10, 10)
 ROUNDS = 60
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash of the whole text."""
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of the whole text, repeats included; none without words."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(size, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64)
+    return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes."""
     bits = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 1 << 16):
         bits += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: str | None, size: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash of the whole text."""
+    return majority(shingle_hashes(text, size))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs with _fp."""
     return per_row(docs, docs.columns, [field("_fp", "long")], lambda b: [[fingerprint(t) for t in b.column("text").to_pylist()]])
@@ -221,14 +230,3 @@ def simhash_table(docs: DataFrame) -> DataFrame:
     df = marked.join(component_map(marked), "_fp")
     return df.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (of rows that share it, one). A component
-    whose ids are all null, or whose row is such, keeps one row as well."""
-    marked = stored(fingerprints(docs.select("doc_id", "text")).select("doc_id", "_fp"), "simhash-marked")
-    chosen = component_map(marked)
-    df = fingerprints(docs).join(chosen, "_fp")
-    df = df.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Rows that repeat an id: one of them stays, whatever their texts.
-    rest = [F.col(c) for c in docs.columns]
-    return df.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("_fp")).alias("_own")).agg(F.min_by(F.struct(*rest), F.struct("_fp", "text")).alias("_row")).select("_row.*").select(*docs.columns)

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strandloom.llm import decontaminate, html, language, licences, packing, pii, quality, queries, simhash, suffix, warc
+from strandloom.llm import decontaminate, html, language, licences, near, packing, pii, quality, queries, simhash, suffix, warc
 from tests.conftest import SF
 
 UP = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -241,8 +241,6 @@ def test_simhash(docs, empty):
     want = collections.Counter((r[0], f"{m:016x}", least[parts.top(i)]) for i, (r, m) in enumerate(zip(rows, marks, strict=True)))
     assert by_text(docs, simhash.simhash_table(docs), ["doc_id", "fingerprint", "component_id"]) == want
     assert simhash.simhash_table(empty).count() == 0
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(least.values()))
 
 
 def test_simhash_shards(spark, monkeypatch):
@@ -267,6 +265,58 @@ def test_simhash_shards(spark, monkeypatch):
         assert {v: got.top(v) for v in every} == {v: parts.top(v) for v in every}
 
 
+def near_groups(rows):
+    """Plain version: every pair of texts, by sets of 5-word shingles. Yields the places of each component."""
+    sets = []
+    for r in rows:
+        w = words((r[1] or "").translate(UP))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parts = simhash.Parts()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or a and b and len(a & b) >= 0.8 * len(a | b):
+                parts.join(i, j)
+    out = collections.defaultdict(list)
+    for i in range(len(rows)):
+        out[parts.top(i)].append(i)
+    return list(out.values())
+
+
+def edited(text, n, rng):
+    w = text.split()
+    for i in rng.sample(range(len(w)), n):
+        w[i] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("rows_a_shard", [4000, 5])
+def test_near_dedup(spark, docs, empty, monkeypatch, rows_a_shard):
+    monkeypatch.setattr(near, "ROWS", rows_a_shard)
+    rng = random.Random(8)
+    passage = prose(40, rng)
+    copies = [prose(rng.randint(80, 400), rng) for _ in range(6)]
+    texts = [edited(t, n, rng) for t in copies for n in (0, 1, 2, 3, 4, 6, 9, 14, 20)] + [f"{prose(40, rng)} {passage} {prose(rng.randint(5, 60), rng)}" for _ in range(30)]
+    rows = made() + [(1000 + i, t, "en", "s", 1, 7, "x") for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    kept = near.keep_one(df)
+    assert kept.columns == df.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    want = near_groups(rows)
+    assert sum(got.values()) == len(want) < len(rows) - 20
+    for group in want:
+        least = min((rows[i][0] is None, rows[i][0] or 0) for i in group)
+        names = {(rows[i][0], rows[i][1]) for i in group if (rows[i][0] is None, rows[i][0] or 0) == least}
+        assert sum(got[x] for x in names) == 1
+    assert near.keep_one(empty).count() == 0
+
+
+def test_near_dedup_of_null_ids(spark):
+    rows = [(None, "a b c d e f g", "_"), (None, "a b c d e f g", "_"), (None, "other words stand here now", "_"), (None, None, "_"), (3, "", "_")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _node string")
+    assert collections.Counter((r[0], r[1]) for r in near.keep_one(df).collect()) == {(None, "a b c d e f g"): 1, (None, "other words stand here now"): 1, (3, ""): 1}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}
