@@ -1,11 +1,11 @@
 """Operator 4, licence scans: a positional rare-token index (native: DataFrame functions only).
 
 Base: places where the words of a PHRASES phrase stand consecutively. Method: document frequencies of all template words
-are counted over the corpus; each template is indexed by its POSTINGS rarest words with their positions. Of a file's
-words in that index the KEYS with the highest IDF are looked up; each occurrence votes for a place of the template
-(occurrence minus posting), and the largest number of different words that agree on a place is the template's vote. A
-template's label is given when at least NEED of the looked-up words that it has agree, three at least, and all of its
-mandatory phrases occur in the text.
+are counted over the corpus; each template is indexed by its POSTINGS rarest words with their positions. Of each
+template's indexed words that a file has, the KEYS with the highest IDF are looked up, so other templates' words take no
+template's place; each occurrence votes for a place of the template (occurrence minus posting), and the largest number of
+different words that agree on a place is the template's vote. A template's label is given when at least NEED of its
+looked-up words agree, three at least, and all of its mandatory phrases occur in the text.
 
 The vocabulary is the templates' (fixed, a few hundred words), so its counts and the index are literals; a text is judged
 in its own row, and nothing but those counts is shuffled. Repeated words cost time in proportion to their number.
@@ -64,16 +64,15 @@ def frequencies(texts: DataFrame) -> dict[str, int]:
     return dict.fromkeys(vocabulary, 0) | {r["w"]: r["count"] for r in counts.collect()}
 
 
-def index(df: dict[str, int], n: int) -> tuple[list[str], list[tuple[str, tuple[str, ...], list[tuple[str, int]]]]]:
-    """Indexed words by falling IDF; for each template its label, mandatory phrases and postings."""
+def index(df: dict[str, int], n: int) -> list[tuple[str, tuple[str, ...], list[str], list[tuple[str, int]]]]:
+    """For each template its label, mandatory phrases, indexed words by falling IDF and postings."""
     idf = {w: math.log((n + 1) / (c + 1)) for w, c in df.items()}
-    out, some = [], set()
+    out = []
     for label, phrases, text in TEMPLATES:
         words = text.split()
-        rare = set(sorted(set(words), key=lambda w: (-idf[w], w))[:POSTINGS])
-        some |= rare
-        out.append((label, phrases, [(w, i) for i, w in enumerate(words) if w in rare]))
-    return sorted(some, key=lambda w: (-idf[w], w)), out
+        rare = sorted(set(words), key=lambda w: (-idf[w], w))[:POSTINGS]
+        out.append((label, phrases, rare, [(w, i) for i, w in enumerate(words) if w in rare]))
+    return out
 
 
 def _most_agreeing(pairs: Column) -> Column:
@@ -87,26 +86,39 @@ def _most_agreeing(pairs: Column) -> Column:
     return F.aggregate(F.sort_array(pairs), zero, step)["best"]
 
 
-def _templates(f: Column, words: list[str], templates: list) -> Column:
+def _templates(f: Column, templates: list) -> Column:
     """array<struct<label, share>> of the templates whose words agree, or empty."""
-    known = F.array(*(F.struct(F.lit(label).alias("label"), _strings(list(phrases)).alias("phrases"), F.array(*(F.struct(F.lit(w).alias("w"), F.lit(i).alias("p")) for w, i in postings)).alias("postings")) for label, phrases, postings in templates))
+    known = F.array(*(F.struct(F.lit(label).alias("label"), _strings(list(phrases)).alias("phrases"), _strings(rare).alias("rare"), F.array(*(F.struct(F.lit(w).alias("w"), F.lit(i).alias("p")) for w, i in postings)).alias("postings")) for label, phrases, rare, postings in templates))
+    indexed = sorted({w for *_, rare, _ in templates for w in rare})
+
+    def with_keys(found: Column) -> Column:
+        """The templates with at least LEAST keys: their KEYS rarest words that the file has."""
 
-    def votes(occurrences: Column, top: Column, low: Column) -> Column:
         def of(t: Column) -> Column:
-            own = F.size(F.filter(top, lambda w: F.exists(t["postings"], lambda q: q["w"] == w)))
+            keys = F.slice(F.array_intersect(t["rare"], found), 1, KEYS)
+            return let(keys, lambda own: F.struct(t["label"].alias("label"), t["phrases"].alias("phrases"), own.alias("keys"), F.filter(t["postings"], lambda q: F.array_contains(own, q["w"])).alias("postings")))
+
+        return F.filter(F.transform(known, of), lambda t: F.size(t["keys"]) >= LEAST)
+
+    def votes(occurrences: Column, some: Column, low: Column) -> Column:
+        def of(t: Column) -> Column:
+            own = F.size(t["keys"])
             places = F.array_distinct(F.flatten(F.transform(occurrences, lambda o: F.transform(F.filter(t["postings"], lambda q: q["w"] == o["w"]), lambda q: F.struct((o["i"] - q["p"]).alias("at"), o["w"].alias("w"))))))
             best = _most_agreeing(places)
             good = (best >= F.greatest(F.lit(LEAST), F.ceil(NEED * own).cast("int"))) & F.forall(t["phrases"], lambda p: F.contains(low, F.concat(F.lit(" "), p, F.lit(" "))))
             return F.struct(t["label"].alias("label"), F.when(good, best / F.greatest(own, F.lit(1))).otherwise(F.lit(0.0)).alias("share"))
 
-        return F.filter(F.transform(known, of), lambda x: x["share"] > 0)
+        return F.filter(F.transform(some, of), lambda x: x["share"] > 0)
 
     def look(all_words: Column) -> Column:
-        def with_keys(top: Column) -> Column:
-            occurrences = F.filter(F.transform(all_words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda o: F.array_contains(top, o["w"]))
-            return F.when(F.size(top) >= LEAST, let(occurrences, lambda o: let(F.lower(f), lambda low: votes(o, top, low))))
+        def with_templates(some: Column) -> Column:
+            def with_words(top: Column) -> Column:
+                occurrences = F.filter(F.transform(all_words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda o: F.array_contains(top, o["w"]))
+                return let(occurrences, lambda o: let(F.lower(f), lambda low: votes(o, some, low)))
+
+            return F.when(F.size(some) > 0, let(F.array_distinct(F.flatten(F.transform(some, lambda t: t["keys"]))), with_words))
 
-        return let(F.slice(F.array_intersect(_strings(words), all_words), 1, KEYS), with_keys)
+        return let(F.array_intersect(_strings(indexed), all_words), lambda found: F.when(F.size(found) >= LEAST, let(with_keys(found), with_templates)))
 
     return F.coalesce(let(_words(), look), F.array().cast("array<struct<label:string,share:double>>"))
 
@@ -114,11 +126,11 @@ def _templates(f: Column, words: list[str], templates: list) -> Column:
 def licence_table(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     texts = folded(docs.select("doc_id", "text"))
-    words, templates = index(frequencies(texts), docs.count())
+    templates = index(frequencies(texts), docs.count())
     f = F.col("_f")
     some = F.contains(F.lower(f), F.lit(" license "))
     n_words = F.greatest(_spaces(f) - 1, F.lit(0))
-    df = texts.drop("text").withColumns({"n_words": n_words.cast("long"), "_some": some, "_found": _templates(f, words, templates)})
+    df = texts.drop("text").withColumns({"n_words": n_words.cast("long"), "_some": some, "_found": _templates(f, templates)})
     for k, (phrase, _) in enumerate(PHRASES):
         parts = F.split(f, f"(?i) {re.escape(phrase).replace(chr(92) + ' ', ' ')}(?= )", -1)
         df = df.withColumn(f"_p{k}", F.when(F.col("_some"), parts).otherwise(F.array(f)))

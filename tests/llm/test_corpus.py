@@ -187,6 +187,25 @@ def test_licence_templates(spark):
     assert all(r["labels"] == "" and r["score"] == 0 for k, r in got.items() if k >= 100)
 
 
+def test_licence_templates_together(spark):
+    rng = random.Random(7)
+    texts = {label: t for label, _, t in licences.TEMPLATES}
+    want, rows = {}, []
+    for k in range(2, 9):
+        for _ in range(6):
+            some = rng.sample(sorted(texts), k)
+            want[len(rows)] = set(some)
+            rows.append((len(rows), "\n".join(f"{texts[x]}\n{prose(30, rng)}" for x in some), None, None, 1, 1, ""))
+    for label, t in texts.items():
+        # Other templates' words, in no order that any template has them in.
+        stray = sorted({w for x in texts for w in texts[x].split() if x != label} - set(t.split()))
+        want[len(rows)] = {label}
+        rows.append((len(rows), f"{' '.join(stray[::-1])}\n{t}", None, None, 1, 1, ""))
+    rows += [(1000 + i, prose(100, rng), None, None, 1, 1, "") for i in range(20)]
+    got = {r["doc_id"]: set(r["labels"].split(",")) - {"mit", "apache", "gpl"} for r in licences.licence_table(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: got[i] for i in want} == want
+
+
 def test_decontamination(spark, docs, empty):
     rows = made()
     w = folded(rows[12][1])
