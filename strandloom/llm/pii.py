@@ -86,12 +86,14 @@ _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _AT = re.compile(rf"\s{{0,3}}{_OPEN}(?:at|@|arroba|chez){_CLOSE}\s{{0,3}}", re.I)
 _DOT = re.compile(rf"\s{{0,3}}{_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}\s{{0,3}}", re.I)
 #: Bare words only as a whole disguise: name at host dot name (dot name ...).
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\.| dot )[A-Za-z0-9_%+-]{1,64}){0,4}( at )[A-Za-z0-9-]{1,63}(?:(?:\.| dot )[A-Za-z0-9-]{1,63}){0,4} dot [A-Za-z]{2,24}(?![A-Za-z0-9])")
-_BARE_DOT = re.compile(" dot ")
+_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\.| (?i:dot) )[A-Za-z0-9_%+-]{1,64}){0,4}( (?i:at) )[A-Za-z0-9-]{1,63}(?:(?:\.| (?i:dot) )[A-Za-z0-9-]{1,63}){0,4} (?i:dot) [A-Za-z]{2,24}(?![A-Za-z0-9])")
+_BARE_DOT = re.compile(" dot ", re.I)
 #: Spelled digits: a run of four or more digit words, with what may stand between and before.
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?{_NUMBER}(?:[ ,-]{{1,2}}(?:(?:dot|point|punkt|punto)[ -]+)?(?:{_NUMBER}|[0-9]{{1,4}})(?!\w)){{3,40}}", re.I)
 _PIECE = re.compile(rf"plus|dot|point|punkt|punto|{_NUMBER}|[0-9]+", re.I)
-_HINT = re.compile(rf"[^\x00-\x7FÀ-ſ]|{_OPEN}(?:at|@|arroba|chez|dot|\.|punkt|point|punto){_CLOSE}| dot |\b{_NUMBER}[ ,-]{{1,2}}{_NUMBER}\b", re.I)
+_ODD = re.compile(r"[^\x00-\x7FÀ-ſ]")
+#: What every match of _AT, _DOT and _BARE holds.
+_HINT = re.compile(rf"{_OPEN}(?:at|@|arroba|chez|dot|\.|punkt|point|punto){_CLOSE}| dot ", re.I)
 
 
 class Mapped:
@@ -133,7 +135,7 @@ def _plain(c: str) -> str:
 
 
 def _homoglyphs(m: Mapped) -> Mapped:
-    return m.edit((x.start(), x.end(), p) for x in re.finditer(r"[^\x00-\x7FÀ-ſ]", m.text) if (p := _plain(x.group())) != x.group())
+    return m.edit((x.start(), x.end(), p) for x in _ODD.finditer(m.text) if (p := _plain(x.group())) != x.group())
 
 
 def _disguises(m: Mapped) -> Mapped:
@@ -159,10 +161,15 @@ def _spelled(m: Mapped) -> Mapped:
     return m.edit(edits())
 
 
+def hinted(text: str) -> bool:
+    """Whether a transducer can change text. Where none matches the text itself, none has anything to work on."""
+    return bool((not text.isascii() and _ODD.search(text)) or _HINT.search(text) or _SPELLED.search(text))
+
+
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     """Base spans, and those with the method's."""
     base = base_spans(text)
-    if not _HINT.search(text):
+    if not hinted(text):
         return base, base
     m = _spelled(_disguises(_homoglyphs(Mapped.of(text))))
     if m.text == text:

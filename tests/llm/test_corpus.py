@@ -144,6 +144,24 @@ def test_pii_disguises(text, found):
     assert [text[a:b] for a, _, b in spans] == found
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("host eight point eight point eight point eight is up", ["eight point eight point eight point eight"]), ("call plus four 9 one 5 two 3 seven 8 four 1 two", ["plus four 9 one 5 two 3 seven 8 four 1 two"]),
+    ("Adresse Eins Punkt zwei punkt drei Punkt vier", ["Eins Punkt zwei punkt drei Punkt vier"]), ("mail jan AT example DOT com now", ["jan AT example DOT com"]), ("Jan At Mail dot Example Dot Com", ["Jan At Mail dot Example Dot Com"]),
+])
+def test_pii_disguises_without_other_hints(text, found):
+    assert [text[a:b] for a, _, b in pii.all_spans(text)[1]] == found
+
+
+def test_pii_gate_loses_nothing(monkeypatch):
+    rng = random.Random(9)
+    parts = ["jan", "John", " at ", " AT ", " dot ", " DOT ", "[at]", "( Dot )", "example", "com", "@", ".", "one", "Two", "drei", "cinq", "fünf", "point", "Punkt", "punto", "dot", "plus", "9", "12", ",", "-", " ", " ", " ", "é", "х", "\u212a", "\u017f"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(3, 40))) for _ in range(8000)]
+    texts += [" ".join(rng.choice(["one", "TWO", "drei", "cinq", "4", "17", "point", "punkt", "plus", "dot"]) for _ in range(rng.randint(4, 30))) for _ in range(8000)]
+    gated = [pii.all_spans(t) for t in texts]
+    monkeypatch.setattr(pii, "hinted", lambda text: True)
+    assert [pii.all_spans(t) for t in texts] == gated and sum(len(a) < len(b) for a, b in gated) > 20
+
+
 def test_pii_table(docs, empty):
     got = by_text(docs, pii.pii_table(docs), ["doc_id", "base_sha256"])
     assert got == collections.Counter((r[0], hashlib.sha256(pii.joined(plain_spans(r[1] or "")).encode()).hexdigest()) for r in made())
