@@ -37,6 +37,9 @@ KINDS = {k: i for i, names in enumerate(("article main", "nav menu", "header", "
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPE = frozenset("ul ol dl table body html article section div td".split())
+#: What may stand in a head without ending it; parts of a table, which end a select.
+HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template head".split())
+TABLE = frozenset("caption table tbody td tfoot th thead tr".split())
 #: Words in class or id that speak against, or for, content.
 AGAINST = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|nav|navigation|navbar|menu|breadcrumbs?|header|footer|sidebar|aside|widget|related|recommended|share|sharing|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|subscription|login|signup|search|form|comments?|replies|reply|discussion|respond|disqus|pagination|pager|copyright|legal|toolbar|skip)(?:$|[\s_-])", re.I)
 FOR = re.compile(r"(?:^|[\s_-])(?:article|post|story|entry|main|content|body|text)(?:$|[\s_-])", re.I)
@@ -57,7 +60,9 @@ class Page:
         self.own: list[int] = [0]
         self.linked: list[int] = [0]
         self.blocks: list[tuple[int, str]] = []
-        stack, hidden, links = [0], 0, 0
+        stack, links = [0], 0
+        # Open hidden elements, and how many block elements were open at their start tags.
+        hidden: list[tuple[str, int]] = []
         parts: list[str] = []
         link_chars = 0
         at = 0
@@ -74,8 +79,24 @@ class Page:
                     self.linked[k] += min(link_chars, len(text))
             link_chars = 0
 
+        def end_hidden(name: str) -> None:
+            """Ends the innermost open hidden element of that name, and what is open inside it."""
+            for k in range(len(hidden) - 1, -1, -1):
+                if hidden[k][0] == name:
+                    del stack[hidden[k][1] :]
+                    del hidden[k:]
+                    break
+
+        def end_block(k: int) -> None:
+            """Ends the block element at place k of the stack, and what is open inside it."""
+            del stack[k:]
+            while hidden and hidden[-1][1] > k:
+                hidden.pop()
+
         def text(s: str) -> None:
             nonlocal link_chars
+            if hidden and hidden[-1][0] == "head" and s.strip():
+                hidden.pop()
             if s and not hidden:
                 s = entities.unescape(s) if "&" in s else s
                 parts.append(s)
@@ -95,12 +116,12 @@ class Page:
                 elif name == "br" or name in INLINE:
                     pass
                 elif name in HIDDEN:
-                    hidden = max(0, hidden - 1)
+                    end_hidden(name)
                 else:
                     for k in range(len(stack) - 1, 0, -1):
                         if self.tags[stack[k]] == name:
                             flush()
-                            del stack[k:]
+                            end_block(k)
                             links = 0
                             break
                 continue
@@ -108,28 +129,40 @@ class Page:
                 text(" ")
                 continue
             closed = m[3].endswith("/") and name not in INLINE
+            # End tags that HTML lets pages leave out.
+            if hidden:
+                if hidden[-1][0] == "head" and name not in HEAD:
+                    end_hidden("head")
+                elif hidden[-1][0] == "option" and name in ("option", "optgroup", "hr"):
+                    end_hidden("option")
+                if name in ("button", "select"):
+                    end_hidden(name)
+                elif name in TABLE:
+                    end_hidden("select")
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
                 continue
             if name in HIDDEN:
-                hidden += 0 if name in VOID or closed else 1
+                if name not in VOID and not closed:
+                    hidden.append((name, len(stack)))
                 continue
             if name in INLINE:
                 links += name == "a"
                 continue
             if name in ("body", "article", "main"):
-                hidden = 0  # an unclosed hidden element ends here
+                hidden.clear()  # an unclosed hidden element ends here
             flush()
             if name in VOID:
                 continue
-            if name in CLOSES_P and "p" in (open_ := [self.tags[k] for k in stack]):
-                k = len(open_) - 1 - open_[::-1].index("p")
-                del stack[k:]
+            # In a hidden element a start tag ends only what was opened there.
+            least = hidden[-1][1] if hidden else 0
+            if name in CLOSES_P and "p" in (open_ := [self.tags[k] for k in stack[least:]]):
+                end_block(least + len(open_) - 1 - open_[::-1].index("p"))
             for other in SAME.get(name, ()):
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, max(least, 1) - 1, -1):
                     if self.tags[stack[k]] == other:
-                        del stack[k:]
+                        end_block(k)
                         break
                     if self.tags[stack[k]] in SCOPE and self.tags[stack[k]] != other:
                         break

@@ -400,6 +400,27 @@ def test_html(spark):
     assert html.extraction_table(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("source", "shown"), [
+    ("<div><select><option>A<option>B</select>after</div><p>more</p>", ["after", "more"]), ("<div><form><select><option>A<option>B</form>after</div>", ["after"]),
+    ("<div><select><optgroup label=x><option>A<option>B<optgroup label=y><option>C</select>after</div><div>more</div>", ["after", "more"]),
+    ("<div><datalist><option value=a>A<option>B</datalist>after</div>", ["after"]), ("<div><select><option>A</option><option>B</option></select>after</div>", ["after"]),
+    ("<div><select><option>A<select><option>B</select>after</div>", ["after"]), ("<table><tr><td><select><option>A<td>cell</table>after", ["cell", "after"]),
+    ("<head><title>T</title><meta x><div>shown</div>", ["shown"]), ("<head><title>T</title>shown<p>more", ["shown", "more"]), ("<head><noscript>no</noscript></head><p>shown", ["shown"]),
+    ("<p>before <button><div>Buy</div></button> after</p>", ["before", "after"]), ("<div><button>Buy</div><p>shown", ["shown"]), ("<div></option></select>shown</div>", ["shown"]),
+    ("<div><object><p>x<p>y</object>shown</div>", ["shown"]), ("<ul><li>a<button><ul><li>x<li>y</ul></button> b<li>c</ul>", ["a", "b", "c"]), ("<template><div>t</div></template><div>shown<svg><g><title>s</title></g></svg> too</div>", ["shown", "too"]),
+])
+def test_html_hidden_elements_end(source, shown):
+    assert [t for _, t in html.Page(source).blocks] == shown
+
+
+def test_html_after_a_form(spark):
+    form = "<form><select><option>A<option>B</select></form>"
+    body = "".join(f"<p>{prose(40, random.Random(i)).strip()}</p>" for i in range(4))
+    rows = [(1, "u", f"<html><body><div class=content>{f}{body}</div></body></html>") for f in ("", form)]
+    texts = [r["text"] for r in html.extraction_table(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert texts[0] == texts[1] and texts[0].count("\n") == 3
+
+
 def test_marginals_equal_enumeration():
     import itertools
     import math
