@@ -180,6 +180,62 @@ def test_language(spark, docs, empty):
     assert language.language_table(empty).count() == 0
 
 
+def plain_language(train):
+    """Kneser-Ney by dicts over all 4-grams: (texts by language) -> score of a text by language."""
+    grams = {x: collections.Counter(g for t in ts for g in language.grams(language.padded(language.codes(t))).tolist()) for x, ts in train.items()}
+    letters = len({g & 0xFFFF for c in grams.values() for g in c}) + 1
+    models = {}
+    for x, c in grams.items():
+        orders = {4: c}
+        for o in (3, 2, 1):
+            orders[o] = collections.Counter(g & ((1 << 16 * o) - 1) for g in orders[o + 1])
+        sums = {o: (collections.Counter(), collections.Counter()) for o in orders}
+        for o, counts in orders.items():
+            for g, n in counts.items():
+                sums[o][0][g >> 16] += n
+                sums[o][1][g >> 16] += 1
+        models[x] = orders, sums
+
+    def p(x, g, o):
+        if o == 0:
+            return 1 / letters
+        g &= (1 << 16 * o) - 1
+        orders, (total, kinds) = models[x][0], models[x][1][o]
+        n = orders[o][g]
+        below = p(x, g, o - 1)
+        return max(n - 0.75, 0) / total[g >> 16] + 0.75 * kinds[g >> 16] / total[g >> 16] * below if total[g >> 16] else below
+
+    return lambda t: {x: float(np.mean([np.log(p(x, g, 4)) for g in language.grams(language.padded(language.codes(t))).tolist()])) for x in models}
+
+
+def test_language_shards(spark, monkeypatch):
+    rng = random.Random(3)
+    scripts = {"zh": [chr(0x4E00 + i) for i in range(300)] + [" "] * 60, "ja": [chr(0x4E00 + i) for i in range(150)] + [chr(0x3042 + i) for i in range(60)], "en": list("abcdefghij ")}
+    rows = [(i, "".join(rng.choice(scripts[x]) for _ in range(rng.randint(20, 60))), x) for i in range(240) for x in [("zh", "ja", "en")[i % 3]]] + [(None, "", "en"), (7, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    train = collections.defaultdict(list)
+    for i, t, x in rows:
+        if t and x and not (i is not None and zlib.crc32(str(i).encode()) % 3 == 1):
+            train[x].append(t)
+    score = plain_language(train)
+    want = {i: max((v, x) for x, v in score(t).items())[1] for i, t, _ in rows if t}
+    found = []
+    for cells in (1 << 24, 900):
+        monkeypatch.setattr(language, "CELLS", cells)
+        found.append(sorted(map(tuple, language.language_table(docs).collect()), key=str))
+        models, of, _ = language.train(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1 or doc_id is null"))
+        assert (models.shards > 3 and bool(models.splits)) == (cells == 900)
+        total = 0
+        for k in range(models.shards):
+            models.shard, models.orders = k, of(k)
+            sums, n = models.sums([t for _, t, _ in rows[:40]])
+            total = total + sums
+        for (_, t, _), s in zip(rows[:40], total / n[:, None], strict=True):
+            assert dict(zip(models.langs, s, strict=True)) == pytest.approx(score(t), abs=1e-4)
+    assert all(r[2] == want[r[0]] for r in found[0] if r[0] in want and r[2] != "und")
+    assert [r[:3] + r[4:] for r in found[0]] == [r[:3] + r[4:] for r in found[1]] and [r[3] for r in found[0]] == pytest.approx([r[3] for r in found[1]], abs=1e-3)
+
+
 def test_licences(docs, empty):
     def plain(t):
         w, at, labels = folded(t), [], set()
