@@ -55,5 +55,13 @@ def per_row(df: DataFrame, keep: Sequence[str], fields: Sequence[T.StructField],
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, as Spark compares names."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def field(name: str, kind: str) -> T.StructField:
     return T.StructField(name, {"long": T.LongType, "string": T.StringType, "boolean": T.BooleanType, "double": T.DoubleType, "binary": T.BinaryType, "int": T.IntegerType}[kind]())

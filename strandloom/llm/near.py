@@ -1,8 +1,8 @@
 """Operator 6 at a stated similarity: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more link.
 
 At that similarity fingerprints differ in about 15% of their bits, too many to cut fingerprints into blocks that agree.
-Shards are keyed by a min-hash of the shingle set instead: a pair of similarity s misses all MINS shards with probability
-(1 - s) ** MINS, 3e-6 at 0.8. A shard is a BK-tree over fingerprints of 256 bits; a search follows only edges within
+Shards are keyed by a min-hash of the shingle set instead: a pair of similarity s misses all KEYS shards with probability
+(1 - s) ** KEYS, 3e-6 at 0.8. A shard is a BK-tree over fingerprints of 256 bits; a search follows only edges within
 RADIUS, which is five standard deviations over the mean distance at 0.8 even for texts of five shingles (seven for long
 ones; unrelated texts lie six beyond it). Whoever a search finds is compared by whole shingle sets. Fingerprints choose
 whom to compare and never link by themselves.
@@ -10,14 +10,19 @@ whom to compare and never link by themselves.
 Shards are searched twice. The first time they hold sizes and fingerprints only, and each class that has anyone to be
 compared with in a shard stays in it (one row each, never pairs). Only these classes' sets are then made and sent.
 
-Equal sets are one class, and only classes travel. Shards of the same classes are searched once. A shard of over ROWS
-classes or BYTES of sets (many documents that share one passage) is cut by a second min-hash (there a pair must share two
-of MINS: missed with probability 8e-5 at 0.8); a part that is still over is dealt into blocks, and each pair of blocks is
-a task's work. Kept links join two parts of a shard, so a dense group emits
-fewer links than it has classes. Components are closed over links.
+Equal sets are one class, and only classes travel. Sets are hashed once, in the pass that marks the texts, and stored
+with the marks (4 bytes a shingle, a class once a task), so no text is shuffled to be compared. Shards of the same classes
+are searched once. A shard of over ROWS classes or BYTES of sets (many documents that share one passage) is cut by one
+more of all MINS min-hashes, so that a pair has to share two of MINS: missed with probability 2e-7 at 0.8. A part that is
+still over is dealt into blocks, and each pair of blocks is a task's work, so none of its pairs is lost. Kept links join
+two parts of a shard, so a dense group emits fewer links than it has classes. Components are closed over links.
 
-Nulls: a null text is empty; texts without words are copies of each other; null ids rank last. Rows that repeat an id are
-told apart by their texts. Empty input gives an empty result.
+The rows that go are named by their ids. Up to GONE of them are sent to every task, so texts stay where they are; more
+are joined by a shuffle.
+
+Nulls: a null text is empty; texts without words are copies of each other; null ids rank last. Rows that repeat an id, or
+have none, are told apart by their classes. Empty input gives an empty result. Texts of any length are hashed whole.
+Columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -31,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import per_row, stored
+from strandloom.llm.common import per_row, stored, unused
 from strandloom.llm.simhash import BKTree, Parts, components, majority, shingle_hashes
 
-WORDS, SIMILARITY, MINS, RADIUS = 5, 0.8, 8, 80
-ROWS, BYTES = 4_000, 64 << 20
+WORDS, SIMILARITY, KEYS, MINS, RADIUS = 5, 0.8, 8, 12, 80
+ROWS, BYTES, GONE = 4_000, 64 << 20, 1 << 21
 #: Odd multipliers of the min-hashes.
 FACTORS = np.array([xxhash.xxh64_intdigest(f"min-hash {i}") | 1 for i in range(MINS)], np.uint64)
 #: Odd multipliers that turn a shingle's hash into the four words of a 256-bit fingerprint.
@@ -68,29 +73,23 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _marks(words: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, words) for t in b.column("text").to_pylist()]
-            mins = [[int((h * f).min().view(np.int64)) for f in FACTORS] if len(h) else [] for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(class_of, sets), pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(map(wide, sets), pa.binary())], names=["doc_id", "node", "n", "mins", "fp"])
-
-    return run
-
-
-def _sets(words: int) -> Callable:
-    """Class and set (upper halves of its hashes), once a task."""
+    """Class of each text, and what is known of the class where the task sees it first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
             for t in b.column("text").to_pylist():
                 h = shingle_set(t, words)
                 node = class_of(h)
-                if len(h) and node not in seen:
+                if node in seen:
+                    rows.append((node, None, None, None, None))
+                else:
                     seen.add(node)
-                    rows.append((node, np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(2)], names=["node", "hashes"])
+                    mins = [int((h * f).min().view(np.int64)) for f in FACTORS] if len(h) else []
+                    rows.append((node, len(h), mins, wide(h), np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()))
+            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", "node", "n", "mins", "fp", "hashes"])
 
     return run
 
@@ -213,56 +212,60 @@ def _sizes(members: DataFrame) -> DataFrame:
 
 def work(classes: DataFrame) -> DataFrame:
     """node, s, i, j, side: the shards, and pairs of their blocks, that a class is compared in."""
-    keys = classes.select("node", "n", F.posexplode("mins").alias("c", "k")).select("node", "n", F.xxhash64("c", "k").alias("s"))
+    every = classes.select("node", "n", F.posexplode("mins").alias("c", "k")).select("node", "n", "c", F.xxhash64("c", "k").alias("s"))
+    keys = every.filter(F.col("c") < KEYS).drop("c")
     sizes, zero = _sizes(keys), F.lit(0)
     out = keys.join(sizes.filter("blocks = 1"), "s").select("node", "s", zero.alias("i"), zero.alias("j"), zero.alias("side"))
     large = sizes.filter("blocks > 1").select("s")
     if large.isEmpty():
         return out
-    finer = keys.join(large, "s").join(keys.select("node", F.col("s").alias("t")), "node").filter("s != t")
+    finer = keys.join(large, "s").join(every.select("node", F.col("s").alias("t")), "node").filter("s != t")
     finer = finer.select("node", "n", F.xxhash64(F.least("s", "t"), F.greatest("s", "t")).alias("s")).distinct()
     dealt = finer.join(_sizes(finer), "s").withColumn("r", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     return out.unionByName(dealt.select("node", "s", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), F.when(F.col("r") <= F.col("o"), 0).otherwise(1).alias("side")))
 
 
-def near_links(docs: DataFrame, classes: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between classes, enough to connect every component. Sets are made from one document of each class."""
+def near_links(marked: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between classes, enough to connect every component."""
     sketches = work(classes).join(classes.select("node", "fp", "n"), "node").select("s", "i", "j", "side", "node", "fp", "n")
     searched = sketches.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "side", "node")
     own = stored(searched.mapInArrow(_keep(similarity), "node binary, s long, i int, j int, side int"), "near-compared")
-    named = classes.join(own, "node", "left_semi").select(F.col("d.doc_id").alias("_near_id")).distinct()
-    sets = docs.join(named, F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_semi").select("text").mapInArrow(_sets(words), "node binary, hashes binary")
-    sets = sets.groupBy("node").agg(F.first("hashes").alias("hashes")).join(classes.select("node", "fp"), "node")
-    rows = sets.join(own.groupBy("node").agg(F.collect_list(F.struct("s", "i", "j", "side")).alias("w")), "node").select(F.explode("w").alias("w"), "node", "fp", "hashes").select("w.*", "node", "fp", "hashes")
+    places = own.groupBy("node").agg(F.collect_list(F.struct("s", "i", "j", "side")).alias("w"))
+    # Each task's first row of a class has its set; one of these is sent on.
+    sets = marked.filter("hashes IS NOT NULL").select("node", "hashes").join(places.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    rows = sets.join(classes.select("node", "fp").join(places, "node"), "node").select(F.explode("w").alias("w"), "node", "fp", "hashes").select("w.*", "node", "fp", "hashes")
     dealt = rows.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "side", "node")
     return dealt.mapInArrow(_link(similarity), "a binary, b binary").distinct()
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """doc_id and node (its class) of each row; node and root of each class. Both are stored tables."""
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("node binary, n long, mins array<long>, fp binary").fields])
+    """doc_id and node (its class) of each row; node, root and least row of each class. Both are stored tables."""
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("node binary, n long, mins array<long>, fp binary, hashes binary").fields])
     marked = stored(docs.select("doc_id", "text").mapInArrow(_marks(words), schema), "near-marked")
-    classes = stored(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("mins").alias("mins"), F.first("fp").alias("fp"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("d")), "near-classes")
-    roots = components(near_links(docs, classes, words, similarity))
-    roots = classes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = (F.first(c, ignorenulls=True).alias(c) for c in ("n", "mins", "fp"))
+    classes = stored(marked.drop("hashes").groupBy("node").agg(*known, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("d")), "near-classes")
+    roots = components(near_links(marked, classes, similarity))
+    roots = classes.select("node", "d").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return marked.select("doc_id", "node"), stored(roots, "near-roots")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id; columns as they were."""
     marked, roots = groups(docs, words, similarity)
-    least = marked.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("d"))
-    kept = least.join(roots, "node").groupBy("root").agg(F.min(F.struct("d", "node")).alias("m")).select(F.col("m.d.doc_id").alias("_near_id"), F.col("m.node").alias("_near_node"))
+    kept = stored(roots.groupBy("root").agg(F.min(F.struct("d", "node")).alias("m")).select(F.col("m.d.doc_id").alias("id"), F.col("m.node").alias("node")), "near-kept")
     # An id of several rows, or none, doesn't name a row: such rows are told apart by class.
-    several = marked.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_near_several"))
-    kept = stored(kept.join(several, F.col("_near_id").eqNullSafe(F.col("_near_several")), "left_anti").withColumn("_near_plain", F.lit(True)).unionByName(kept.join(several, F.col("_near_id").eqNullSafe(F.col("_near_several")), "left_semi").withColumn("_near_plain", F.lit(False))), "near-kept")
-    plain = docs.join(kept.filter("_near_plain"), F.col("doc_id") == F.col("_near_id"), "left_semi")
-    rest = kept.filter("NOT _near_plain").select("_near_id", "_near_node")
-    if rest.isEmpty():
+    several = stored(marked.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")), "near-several")
+    out_of = marked.select(F.col("doc_id").alias("id")).filter("id IS NOT NULL").join(kept.select("id"), "id", "left_anti")
+    gone = stored(out_of.unionByName(several.filter("id IS NOT NULL")).distinct(), "near-gone")
+    named = gone.withColumnRenamed("id", name := unused(docs, "gone"))
+    if gone.count() <= GONE:
+        named = F.broadcast(named)
+    plain = docs.filter(F.col("doc_id").isNotNull()).join(named, F.col("doc_id") == F.col(name), "left_anti")
+    if several.isEmpty():
         return plain
-    named = docs.join(rest.select("_near_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_semi")
-    field = T.StructField("_near_class", T.BinaryType())
-    named = per_row(named, docs.columns, [field], lambda b: [[class_of(shingle_set(t, words)) for t in b.column("text").to_pylist()]])
-    named = named.join(rest, F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_class") == F.col("_near_node")))
-    one = named.groupBy("_near_node").agg(F.min_by(F.struct(*(F.col(c) for c in docs.columns)), F.struct("text")).alias("_row"))
-    return plain.unionByName(one.select("_row.*").select(*docs.columns))
+    row, node = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), T.StructField("node", T.BinaryType())
+    rest = docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(several.withColumnRenamed("id", name), F.col("doc_id") == F.col(name), "left_semi"))
+    rest = per_row(rest.select(row, "text"), ["row"], [node], lambda b: [[class_of(shingle_set(t, words)) for t in b.column("text").to_pylist()]])
+    rest = rest.withColumn("key", F.xxhash64("node", "row.doc_id")).join(kept.select(F.xxhash64("node", "id").alias("key"), F.col("node").alias("own"), "id"), "key")
+    rest = rest.filter((F.col("node") == F.col("own")) & F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return plain.unionByName(rest.groupBy("node").agg(F.min_by("row", F.struct("row.text")).alias("row")).select("row.*"))
