@@ -1,21 +1,19 @@
 """Operator 6 at a stated similarity: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more link.
 
 At that similarity fingerprints differ in about 15% of their bits, too many to cut fingerprints into blocks that agree.
-Shards are keyed by a min-hash of the shingle set instead: a pair of similarity s misses all KEYS shards with probability
-(1 - s) ** KEYS, 3e-6 at 0.8. A shard is a BK-tree over fingerprints of 256 bits; a search follows only edges within
-RADIUS, which is five standard deviations over the mean distance at 0.8 even for texts of five shingles (seven for long
-ones; unrelated texts lie six beyond it). Whoever a search finds is compared by whole shingle sets. Fingerprints choose
-whom to compare and never link by themselves.
-
-Shards are searched twice. The first time they hold sizes and fingerprints only, and each class that has anyone to be
-compared with in a shard stays in it (one row each, never pairs). Only these classes' sets are then made and sent.
+Shards are keyed by BANDS hashes of BAND min-hashes of the shingle set instead: a pair of similarity s misses all shards
+with probability (1 - s ** BAND) ** BANDS, 2.5e-6 at 0.8, and one of 0.3 (texts that share a passage) meets in half a
+shard. In a shard, BK-trees over fingerprints of 256 bits hold its parts (classes linked so far): one tree for each part
+and one for all classes without a link. A search follows only edges within RADIUS, which is five standard deviations over
+the mean distance at 0.8 even for texts of five shingles (seven for long ones; unrelated texts lie six beyond it), and
+leaves a part at its first link. Whoever a search finds is compared by whole shingle sets: fingerprints choose whom to
+compare and never link by themselves. A dense group so costs little more than a search a class, and emits fewer links
+than it has classes. Components are closed over links.
 
 Equal sets are one class, and only classes travel. Sets are hashed once, in the pass that marks the texts, and stored
 with the marks (4 bytes a shingle, a class once a task), so no text is shuffled to be compared. Shards of the same classes
-are searched once. A shard of over ROWS classes or BYTES of sets (many documents that share one passage) is cut by one
-more of all MINS min-hashes, so that a pair has to share two of MINS: missed with probability 2e-7 at 0.8. A part that is
-still over is dealt into blocks, and each pair of blocks is a task's work, so none of its pairs is lost. Kept links join
-two parts of a shard, so a dense group emits fewer links than it has classes. Components are closed over links.
+are searched once. A shard of over ROWS classes or BYTES of sets is dealt into blocks, and each pair of blocks is a task's
+work, so none of its pairs is lost.
 
 The rows that go are named by their ids. Up to GONE of them are sent to every task, so texts stay where they are; more
 are joined by a shuffle.
@@ -37,12 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.llm.common import per_row, stored, unused
-from strandloom.llm.simhash import BKTree, Parts, components, majority, shingle_hashes
+from strandloom.llm.simhash import BKTree, components, majority, shingle_hashes
 
-WORDS, SIMILARITY, KEYS, MINS, RADIUS = 5, 0.8, 8, 12, 80
-ROWS, BYTES, GONE = 4_000, 64 << 20, 1 << 21
+WORDS, SIMILARITY, BAND, BANDS, RADIUS = 5, 0.8, 3, 18, 80
+#: Distance within which a link is likely: such fingerprints are looked at first.
+LIKELY = 38
+ROWS, BYTES, GONE = 16_000, 64 << 20, 1 << 21
 #: Odd multipliers of the min-hashes.
-FACTORS = np.array([xxhash.xxh64_intdigest(f"min-hash {i}") | 1 for i in range(MINS)], np.uint64)
+FACTORS = np.array([xxhash.xxh64_intdigest(f"min-hash {i}") | 1 for i in range(BAND * BANDS)], np.uint64)
 #: Odd multipliers that turn a shingle's hash into the four words of a 256-bit fingerprint.
 WIDEN = np.array([xxhash.xxh64_intdigest(f"fingerprint word {i}") | 1 for i in range(4)], np.uint64)
 
@@ -62,13 +62,23 @@ def wide(hashes: np.ndarray) -> bytes:
     return np.array([majority(m) for m in mixed ^ (mixed >> np.uint64(32))], np.int64).tobytes()
 
 
+def bands(hashes: np.ndarray) -> list[int]:
+    """The shards of a shingle set; none for the empty one."""
+    if not len(hashes):
+        return []
+    mins = np.array([(hashes * f).min() for f in FACTORS], np.uint64).reshape(BANDS, BAND)
+    return [xxhash.xxh64_intdigest(m.tobytes(), k) - (1 << 63) for k, m in enumerate(mins)]
+
+
 def near_size(a: int, b: int, similarity: float) -> bool:
     """Whether sets of these sizes can reach the similarity; with room for hashes that fall together when cut to 32 bits."""
     return 1.001 * min(a, b) + 1 >= similarity * max(a, b)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    every = np.concatenate((a, b))
+    every.sort()
+    both = np.count_nonzero(every[1:] == every[:-1])
     return both / max(1, len(a) + len(b) - both)
 
 
@@ -86,41 +96,93 @@ def _marks(words: int) -> Callable:
                     rows.append((node, None, None, None, None))
                 else:
                     seen.add(node)
-                    mins = [int((h * f).min().view(np.int64)) for f in FACTORS] if len(h) else []
-                    rows.append((node, len(h), mins, wide(h), np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()))
+                    rows.append((node, len(h), bands(h), wide(h), np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes()))
             kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", "node", "n", "mins", "fp", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=["doc_id", "node", "n", "shards", "fp", "hashes"])
 
     return run
 
 
+class Part:
+    """A BK-tree of fingerprints with the classes that have them."""
+
+    def __init__(self) -> None:
+        self.tree: BKTree | None = None
+        self.at: dict[int, list[int]] = {}
+
+    def add(self, fp: int, e: int) -> None:
+        if fp in self.at:
+            self.at[fp].append(e)
+            return
+        self.at[fp] = [e]
+        if self.tree:
+            self.tree.add(fp)
+        else:
+            self.tree = BKTree(fp)
+
+    def take(self, fp: int, e: int) -> None:
+        """Takes a class out; its fingerprint stays as a branch of the tree."""
+        self.at[fp].remove(e)
+
+    def near(self, fp: int, radius: int) -> Iterator[int]:
+        """Classes within the radius, likely ones first."""
+        if self.tree:
+            for low, r in ((-1, min(LIKELY, radius)), (LIKELY, radius)):
+                for f in self.tree.within(fp, r):
+                    if (f ^ fp).bit_count() > low:
+                        yield from self.at[f]
+
+
 class Shard:
-    """A BK-tree of fingerprints with the sets behind them."""
+    """The parts of a shard, with the sets of their classes."""
 
     def __init__(self, similarity: float = SIMILARITY, radius: int = RADIUS):
         self.similarity, self.radius = similarity, radius
-        self.tree: BKTree | None = None
-        self.at: dict[int, list[int]] = {}
+        self.single, self.parts = Part(), list[Part]()
         self.nodes: list[bytes] = []
+        self.fps: list[int] = []
         self.sets: list[np.ndarray] = []
-        self.parts = Parts()
-
-    def links(self, node: bytes, fp: int, hashes: np.ndarray, search: bool = True, add: bool = True) -> Iterator[bytes]:
-        """Earlier classes that link to this one and join it to another part, nearest fingerprints first."""
-        own = len(self.nodes)
-        self.nodes.append(node)
-        self.sets.append(hashes if add else hashes[:0])
-        if search and self.tree:
-            for _, e in sorted(((f ^ fp).bit_count(), e) for f in self.tree.within(fp, self.radius) for e in self.at[f]):
-                if near_size(len(hashes), len(self.sets[e]), self.similarity) and self.parts.top(e) != self.parts.top(own) and jaccard(hashes, self.sets[e]) >= self.similarity:
-                    self.parts.join(e, own)
-                    yield self.nodes[e]
-        if add:
-            self.at.setdefault(fp, []).append(own)
-            if self.tree:
-                self.tree.add(fp)
+
+    def alike(self, hashes: np.ndarray, e: int) -> bool:
+        return near_size(len(hashes), len(self.sets[e]), self.similarity) and jaccard(hashes, self.sets[e]) >= self.similarity
+
+    def links(self, node: bytes, fp: int, hashes: np.ndarray, search: bool = True, add: bool = True) -> list[bytes]:
+        """Earlier classes that link to this one: one of each part, and all without a part."""
+        found: list[int] = []
+        if search:
+            joined = []
+            for part in self.parts:
+                e = next((e for e in part.near(fp, self.radius) if self.alike(hashes, e)), None)
+                if e is not None:
+                    found.append(e)
+                    joined.append(part)
+            lone = [e for e in self.single.near(fp, self.radius) if self.alike(hashes, e)]
+            if joined or lone and (add or len(lone) > 1):
+                into = max(joined, key=lambda p: len(p.at), default=None)
+                if into is None:
+                    into = Part()
+                    self.parts.append(into)
+                for part in joined:
+                    if part is not into:
+                        self.parts.remove(part)
+                        for f, es in part.at.items():
+                            for e in es:
+                                into.add(f, e)
+                for e in lone:
+                    self.single.take(self.fps[e], e)
+                    into.add(self.fps[e], e)
+                home = into
             else:
-                self.tree = BKTree(fp)
+                home = self.single
+            found += lone
+        else:
+            home = self.single
+        if add:
+            self.nodes.append(node)
+            self.fps.append(fp)
+            self.sets.append(hashes)
+            home.add(fp, len(self.nodes) - 1)
+        return [self.nodes[e] for e in found]
 
 
 def _link(similarity: float) -> Callable:
@@ -133,76 +195,12 @@ def _link(similarity: float) -> Callable:
             for s, i, j, side, node, fp, hashes in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
                 if now != (s, i, j):
                     now, shard = (s, i, j), Shard(similarity)
-                one = i == j
-                found += ((min(node, x), max(node, x)) for x in shard.links(node, int.from_bytes(fp, "little"), np.frombuffer(hashes, np.uint32), one or side == 1, one or side == 0) if x != node)
+                found += ((min(node, x), max(node, x)) for x in shard.links(node, int.from_bytes(fp, "little"), np.frombuffer(hashes, np.uint32), i == j or side == 1, i == j or side == 0) if x != node)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in range(2)], names=["a", "b"])
 
     return run
 
 
-class Sketches:
-    """A BK-tree of fingerprints with classes and set sizes."""
-
-    def __init__(self) -> None:
-        self.tree: BKTree | None = None
-        self.at: dict[int, list[tuple[bytes, int]]] = {}
-
-    def add(self, node: bytes, fp: int, n: int) -> None:
-        self.at.setdefault(fp, []).append((node, n))
-        if self.tree:
-            self.tree.add(fp)
-        else:
-            self.tree = BKTree(fp)
-
-    def partner(self, node: bytes, fp: int, n: int, similarity: float, radius: int = RADIUS) -> bytes | None:
-        """Any other class that this one has to be compared with."""
-        found = self.tree.within(fp, radius) if self.tree else ()
-        return next((x for f in found for x, m in self.at[f] if x != node and near_size(n, m, similarity)), None)
-
-
-def with_partner(rows: list[tuple[int, bytes, int, int]], similarity: float) -> list[tuple[int, bytes]]:
-    """(side, node) of the rows (side, node, fingerprint, size) that have a partner: on the other side if there are two."""
-    trees: dict[int, Sketches] = {}
-    for side, *row in rows:
-        trees.setdefault(side, Sketches()).add(*row)
-    have: set[bytes] = set()
-    for side, node, fp, n in rows:
-        if node not in have and (x := trees[1 - side if len(trees) == 2 else side].partner(node, fp, n, similarity)):
-            have |= {node, x}
-    return [(side, node) for side, node, *_ in rows if node in have]
-
-
-def _keep(similarity: float) -> Callable:
-    """Rows of each run of one shard and pair of blocks that have a partner there. A pair of blocks may miss a side."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple[int, int, int] | None = None
-        rows: list[tuple[int, bytes, int, int]] = []
-        kept: list[tuple] = []
-
-        def end() -> None:
-            if now and (now[1] == now[2] or len({r[0] for r in rows}) == 2):
-                kept.extend((node, *now, side) for side, node in with_partner(rows, similarity))
-            rows.clear()
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["node", "s", "i", "j", "side"])
-            kept.clear()
-            return made
-
-        for batch in batches:
-            for s, i, j, side, node, fp, n in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
-                if now != (s, i, j):
-                    end()
-                    now = (s, i, j)
-                rows.append((side, node, int.from_bytes(fp, "little"), n))
-            yield out()
-        end()
-        yield out()
-
-    return run
-
-
 def _sizes(members: DataFrame) -> DataFrame:
     """Shards of two or more classes, one of those that hold the same ones. members: node, n, s."""
     each = members.groupBy("s").agg(F.count(F.lit(1)).alias("rows"), (4 * F.sum("n")).alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
@@ -212,37 +210,27 @@ def _sizes(members: DataFrame) -> DataFrame:
 
 def work(classes: DataFrame) -> DataFrame:
     """node, s, i, j, side: the shards, and pairs of their blocks, that a class is compared in."""
-    every = classes.select("node", "n", F.posexplode("mins").alias("c", "k")).select("node", "n", "c", F.xxhash64("c", "k").alias("s"))
-    keys = every.filter(F.col("c") < KEYS).drop("c")
-    sizes, zero = _sizes(keys), F.lit(0)
-    out = keys.join(sizes.filter("blocks = 1"), "s").select("node", "s", zero.alias("i"), zero.alias("j"), zero.alias("side"))
-    large = sizes.filter("blocks > 1").select("s")
-    if large.isEmpty():
-        return out
-    finer = keys.join(large, "s").join(every.select("node", F.col("s").alias("t")), "node").filter("s != t")
-    finer = finer.select("node", "n", F.xxhash64(F.least("s", "t"), F.greatest("s", "t")).alias("s")).distinct()
-    dealt = finer.join(_sizes(finer), "s").withColumn("r", F.pmod(F.xxhash64("node", F.lit(2)), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(zero, F.col("blocks") - 1)))
-    return out.unionByName(dealt.select("node", "s", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), F.when(F.col("r") <= F.col("o"), 0).otherwise(1).alias("side")))
+    keys, zero = classes.select("node", "n", F.explode("shards").alias("s")), F.lit(0)
+    dealt = keys.select("node", "s").join(_sizes(keys), "s").withColumn("r", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    return dealt.select("node", "s", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), F.when(F.col("r") <= F.col("o"), 0).otherwise(1).alias("side"))
 
 
 def near_links(marked: DataFrame, classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between classes, enough to connect every component."""
-    sketches = work(classes).join(classes.select("node", "fp", "n"), "node").select("s", "i", "j", "side", "node", "fp", "n")
-    searched = sketches.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "side", "node")
-    own = stored(searched.mapInArrow(_keep(similarity), "node binary, s long, i int, j int, side int"), "near-compared")
-    places = own.groupBy("node").agg(F.collect_list(F.struct("s", "i", "j", "side")).alias("w"))
+    places = work(classes).groupBy("node").agg(F.collect_list(F.struct("s", "i", "j", "side")).alias("w"))
+    compared = stored(places.join(classes.select("node", "fp"), "node"), "near-compared")
     # Each task's first row of a class has its set; one of these is sent on.
-    sets = marked.filter("hashes IS NOT NULL").select("node", "hashes").join(places.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
-    rows = sets.join(classes.select("node", "fp").join(places, "node"), "node").select(F.explode("w").alias("w"), "node", "fp", "hashes").select("w.*", "node", "fp", "hashes")
+    sets = marked.filter("hashes IS NOT NULL").select("node", "hashes").join(compared.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    rows = sets.join(compared, "node").select(F.explode("w").alias("w"), "node", "fp", "hashes").select("w.*", "node", "fp", "hashes")
     dealt = rows.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "side", "node")
     return dealt.mapInArrow(_link(similarity), "a binary, b binary").distinct()
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """doc_id and node (its class) of each row; node, root and least row of each class. Both are stored tables."""
-    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("node binary, n long, mins array<long>, fp binary, hashes binary").fields])
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("node binary, n long, shards array<long>, fp binary, hashes binary").fields])
     marked = stored(docs.select("doc_id", "text").mapInArrow(_marks(words), schema), "near-marked")
-    known = (F.first(c, ignorenulls=True).alias(c) for c in ("n", "mins", "fp"))
+    known = (F.first(c, ignorenulls=True).alias(c) for c in ("n", "shards", "fp"))
     classes = stored(marked.drop("hashes").groupBy("node").agg(*known, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("d")), "near-classes")
     roots = components(near_links(marked, classes, similarity))
     roots = classes.select("node", "d").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -89,8 +89,10 @@ class BKTree:
             d = (at ^ x).bit_count()
             if d <= radius:
                 yield at
-            if children:
+            if len(children) > 2 * radius:
                 todo += [children[k] for k in range(max(1, d - radius), d + radius + 1) if k in children]
+            else:
+                todo += [child for k, child in children.items() if -radius <= k - d <= radius]
 
 
 class Parts:
