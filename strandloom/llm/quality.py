@@ -7,12 +7,15 @@ minimum-covariance-determinant estimate of centre and scatter is found by concen
 when its squared Mahalanobis distance is over CUTOFF.
 
 A concentration step is one aggregation: moments are summed per group and distance bin, partial sums first, so that a
-group with a third of all rows is never gathered in one task. Two starts run side by side (medians with quartile ranges;
-plain mean and covariance), and the smaller determinant wins. Groups of under MIN_GROUP rows are pooled by language,
-then over all languages. A scatter gets FLOORS squared on its diagonal: constant statistics don't make it singular.
+group with a third of all rows is never gathered in one task; of the bin that the group's share ends in, the part that is
+wanted is taken. Two starts run side by side (medians with quartile ranges; plain mean and covariance), steps go on until
+no group's log determinant falls by SETTLED (STEPS at most), and the smaller determinant wins. An estimate needs MIN_GROUP
+rows, a parameter of the method: smaller groups are pooled by language, then over all languages, and their texts are
+judged by the pool's estimate. A scatter gets FLOORS squared on its diagonal: constant statistics don't make it singular.
 
 Nulls: a null text has no words (n_words 0, base_failed, not kept); null lang or source is a group of its own; ids may be
-null or repeated, as no step joins on them. Empty input gives an empty result.
+null or repeated, as no step joins on them. Texts of any length are counted whole, in their own row. Columns of docs may
+have any names: a row travels as one struct. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ CUTOFF = 28.473
 SHARE, CONSISTENT = 0.75, 1.485
 #: Least standard deviation of each statistic.
 FLOORS = (0.1, 0.06, 0.15, 0.2)
-MIN_GROUP, STEPS, P = 50, 3, 4
+MIN_GROUP, STEPS, SETTLED, P = 50, 12, 1e-3, 4
 MIN_WORDS = 50
 SPACE = " \t\n\x0b\f\r"
 #: Windows are first compared by the upper 40 bits of a hash, with the place in the lower 24.
@@ -153,11 +156,17 @@ def fit(stats: DataFrame) -> DataFrame:
     found = stored(_medians(rows).unionByName(plain), "quality-start")
     by = ["_group", "_start"]
     w = Window.partitionBy(*by)
-    for _ in range(STEPS):
+    moments = ["_n", *(f"_s{i}" for i in range(1, P + 1)), *(f"_s{i}{j}" for i, j in LOW)]
+    for step in range(STEPS):
         near = _distance(rows.join(found, "_group")).groupBy(*by, F.floor(16 * F.log2(1 + F.col("_d2"))).alias("_bin")).agg(*_sums())
-        near = near.withColumns({"_before": F.sum("_n").over(w.orderBy("_bin")) - F.col("_n"), "_all": F.sum("_n").over(w)}).filter(F.col("_before") < F.ceil(SHARE * F.col("_all")))
-        sums = near.groupBy(*by).agg(F.sum("_n").alias("_n"), *(F.sum(f"_s{i}").alias(f"_s{i}") for i in range(1, P + 1)), *(F.sum(f"_s{i}{j}").alias(f"_s{i}{j}") for i, j in LOW))
-        found = stored(_estimate(sums, CONSISTENT, by), "quality-step")
+        near = near.withColumns({"_before": F.sum("_n").over(w.orderBy("_bin")) - F.col("_n"), "_wanted": F.ceil(SHARE * F.sum("_n").over(w))}).filter("_before < _wanted")
+        part = F.least(F.lit(1.0), (F.col("_wanted") - F.col("_before")) / F.col("_n"))
+        sums = near.groupBy(*by).agg(*(F.sum(F.col(c) * part).alias(c) for c in moments))
+        now = stored(_estimate(sums, CONSISTENT, by).join(found.select(*by, F.col("_det").alias("_last")), by), "quality-step")
+        fell = now.agg(F.max(F.col("_last") - F.col("_det"))).first()[0]
+        found = now.drop("_last")
+        if fell is None or step and fell < SETTLED:
+            break
     best = found.groupBy("_group").agg(F.min_by(F.struct(*M, *(f"_l{i}{j}" for i, j in LOW)), F.struct("_det", "_start")).alias("_b")).select("_group", "_b.*")
     return groups.join(best, "_group").drop("_group")
 
@@ -177,7 +186,7 @@ def quality_table(docs: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """docs without those that the rules reject; columns as they were."""
-    narrow = docs.select("text", "lang", "source")
-    estimates = stored(fit(stored(text_stats(narrow).select("lang", "source", "_q_base_failed", *X), "quality-stats")), "quality-fit")
-    return judge(text_stats(docs), estimates).filter("_kept").select(*docs.columns)
+    """docs without those that the rules reject; columns as they were. Statistics are stored beside the rows, once."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    stats = stored(text_stats(docs.select(row, "text", "lang", "source")).select("row", "lang", "source", "_q_base_failed", *X), "quality-rows")
+    return judge(stats, fit(stats)).filter("_kept").select("row.*")

@@ -80,6 +80,36 @@ def test_quality_rejects_outliers(spark):
     assert all(v == (k < 1000) for k, v in got.items()) and any(k >= 1000 for k in got)
 
 
+def test_quality_estimate_is_minimum_covariance_determinant(spark, monkeypatch):
+    """Against concentration steps by numpy, on exact subsets, from the same two starts."""
+    rng = random.Random(4)
+    rows = [(i, "\n".join([prose(rng.randint(60, 200), rng)] * rng.choice([1, 1, 1, 2]) + ["# $ %"] * rng.randint(0, 4)) + (" ab$" * 30 if i % 9 == 0 else ""), "en", "s", 1, 1, "") for i in range(400)]
+    stats = quality.stored(quality.text_stats(spark.createDataFrame(rows, SCHEMA)), "test-stats")
+    x = np.array(stats.filter("not _q_base_failed").select(*quality.X).collect(), float)
+    floors, h, found = np.diag(np.square(quality.FLOORS)), int(np.ceil(quality.SHARE * len(x))), []
+    q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+    for centre, scatter in ((q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, quality.FLOORS) ** 2)), (x.mean(0), np.cov(x.T, bias=True) + floors)):
+        for _ in range(50):
+            d = x - centre
+            near = x[np.argsort((d @ np.linalg.inv(scatter) * d).sum(1))[:h]]
+            centre, scatter = near.mean(0), quality.CONSISTENT * np.cov(near.T, bias=True) + floors
+        found.append((np.linalg.slogdet(scatter)[1], centre, scatter))
+    _, centre, scatter = min(found, key=lambda f: f[0])
+    got = quality.fit(stats).first()
+    low = np.zeros((4, 4))
+    for i, j in quality.LOW:
+        low[i - 1, j - 1] = got[f"_l{i}{j}"]
+    assert np.linalg.slogdet(low @ low.T)[1] == pytest.approx(np.linalg.slogdet(scatter)[1], abs=0.2)
+    assert np.allclose([got[m] for m in quality.M], centre, atol=0.05)
+
+
+def test_quality_with_clashing_columns(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, prose(80, rng), "en", "s", "a", 1.5, 3) for i in range(60)], "doc_id long, text string, lang string, source string, _lang string, _m1 double, row long")
+    kept = quality.keep_quality(df)
+    assert kept.columns == df.columns and kept.count() == 60 and kept.first()["_m1"] == 1.5
+
+
 def test_packing(docs, empty):
     tokenizer = packing.Chunks(queries.tokenizer_path()).tokenizer
     want = collections.Counter()
