@@ -18,9 +18,11 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 o
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one is set only where none is."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where none is set, a temporary one on a single machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -34,7 +36,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again: cuts lineage, and a lost executor costs no earlier work."""
     path = new_path(df.sparkSession, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table once its last reader is done."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,6 +65,11 @@ def per_row(df: DataFrame, keep: Sequence[str], fields: Sequence[T.StructField],
     return df.mapInArrow(run, schema)
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, row: it travels under a name of its own, whatever the columns are called."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, as Spark compares names."""
     taken = {c.lower() for c in df.columns}

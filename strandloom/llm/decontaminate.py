@@ -4,10 +4,11 @@ Items and texts are folded alike (A-Z lower-cased, words are runs of 0-9, a-z an
 alphabet is the items' words, so a text is scanned once, word by word, and a hit's words map back to characters of the
 original text. No shuffle: the automaton is made once in each Python worker.
 
-The benchmark is sent to every executor, so its size is checked: items are dealt into shards of at most SHARD_WORDS
-words, and each shard is one pass whose hits are added to those before (written to the shared folder between passes).
-An item that is larger by itself makes a shard of its own.
+The benchmark is sent to every executor, so its size is checked: items are dealt by a hash into shards of about
+SHARD_WORDS words (an automaton of 300,000 words takes 270 MB in a worker), and each shard is read and sent for one pass
+of its own, whose hits are added to those before (written to the shared folder between passes; the driver holds one shard).
 
+Texts of any length are scanned whole; repeated rows are judged each. Columns of docs may have any names.
 Nulls: a null text or item has no words; a null item_id counts as an item with the id "null"; repeated items count once.
 An empty benchmark hits nothing.
 """
@@ -24,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import FOLD, field, per_row, stored
+from strandloom.llm.common import FOLD, as_row, discard, field, per_row, stored
 
 WINDOW = 10
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 250_000
 
 
 class Windows:
@@ -77,66 +78,76 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-def _shards(benchmark: DataFrame) -> list[tuple]:
-    """Items dealt into shards, read from the driver a partition at a time."""
+def _shards(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """i (item_id), text, shard of the items, stored, and the number of shards."""
     rows = benchmark.filter(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), "text").distinct()
-    shards, now, words = [], [], 0
-    for r in rows.toLocalIterator():
-        n = len(r["text"]) // 2 + 1  # at most
-        if now and words + n > SHARD_WORDS:
-            shards.append(tuple(now))
-            now, words = [], 0
-        now.append((r["i"], r["text"]))
-        words += n
-    return [*shards, tuple(now)]
-
-
-def scan_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """docs with _b_words (their number), _b_spans (merged hit word ranges: int32 pairs) and _b_items (ids, \\x00-joined)."""
+    rows = stored(rows, "decontaminate-items")
+    words = rows.agg(F.sum((F.length("text") / 2).cast("long") + 1)).first()[0] or 0  # at most
+    n = max(1, -(-words // SHARD_WORDS))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("i", "text"), F.lit(n))), n
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, z in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
+def scan_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = WINDOW) -> DataFrame:
+    """keep's columns of docs, n_words, hits (merged hit word ranges: int32 pairs), items (ids, \\x00-joined) and spans
+    (the hits as start:end in characters of the original text, comma-joined). keep: none of these names, nor text."""
     spark = docs.sparkSession
-    df = docs.withColumns({"_b_words": F.lit(0).cast("long"), "_b_spans": F.lit(b""), "_b_items": F.lit("")})
-    for k, shard in enumerate(_shards(benchmark)):
-        if k:
-            df = stored(df, "decontaminate")
-        sent = spark.sparkContext.broadcast(shard)
+    df = docs.select(*keep, "text").withColumns({"hits": F.lit(b""), "items": F.lit("")})
+    rows, n = _shards(benchmark)
+    fields = [field("n_words", "long"), field("hits", "binary"), field("items", "string"), field("spans", "string")]
+    for k in range(n):
+        sent = spark.sparkContext.broadcast(tuple((r["i"], r["text"]) for r in rows.filter(F.col("shard") == k).select("i", "text").collect()))
 
         def of(b: pa.RecordBatch, sent=sent) -> list:
             windows = _windows(sent.value, size)
-            counts, spans, items = [], [], []
-            for text, old, names in zip(b.column("text").to_pylist(), b.column("_b_spans").to_pylist(), b.column("_b_items").to_pylist(), strict=True):
-                n, hit, found = windows.scan(text or "")
+            out: list[list] = [[], [], [], []]
+            for text, old, names in zip(b.column("text").to_pylist(), b.column("hits").to_pylist(), b.column("items").to_pylist(), strict=True):
+                count, hit, found = windows.scan(text or "")
                 if old:
-                    hit = [*map(tuple, np.frombuffer(old, "<i4").reshape(-1, 2).tolist()), *hit]
-                counts.append(n)
-                spans.append(np.array(hit, "<i4").tobytes())
-                items.append("\x00".join(sorted(found | (set(names.split("\x00")) if names else set()))))
-            return [counts, spans, items]
-
-        own = [c for c in df.columns if c not in ("_b_words", "_b_spans", "_b_items")]
-        df = per_row(df, own, [field("_b_words", "long"), field("_b_spans", "binary"), field("_b_items", "string")], of)
-    return df
+                    hit = _merged([*map(tuple, np.frombuffer(old, "<i4").reshape(-1, 2).tolist()), *hit])
+                found |= set(names.split("\x00")) if names else set()
+                chars = ",".join(f"{a}:{z}" for a, z in char_spans(text, hit)) if hit else ""
+                for column, value in zip(out, (count, np.array(hit, "<i4").tobytes(), "\x00".join(sorted(found)), chars), strict=True):
+                    column.append(value)
+            return out
+
+        last = k == n - 1
+        found = per_row(df, keep if last else [*keep, "text"], fields, of)
+        if not last:
+            found = stored(found, "decontaminate")
+            if k:
+                discard(stage)
+            stage, df = found, found.drop("n_words", "spans")
+    return found
 
 
 def _digest(b: pa.RecordBatch) -> list:
     hits, counts, digests = [], [], []
-    for spans, items in zip(b.column("_b_spans").to_pylist(), b.column("_b_items").to_pylist(), strict=True):
-        end = total = 0
-        for a, z in sorted(map(tuple, np.frombuffer(spans, "<i4").reshape(-1, 2).tolist())):
-            total += max(0, z - max(a, end))
-            end = max(end, z)
+    for spans, items in zip(b.column("hits").to_pylist(), b.column("items").to_pylist(), strict=True):
+        pairs = np.frombuffer(spans, "<i4").reshape(-1, 2)
         names = items.split("\x00") if items else []
-        hits.append(total)
+        hits.append(int((pairs[:, 1] - pairs[:, 0]).sum()))
         counts.append(len(names))
         digests.append(hashlib.sha256(",".join(names).encode()).hexdigest())
     return [hits, counts, digests]
 
 
 def contamination_table(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    df = scan_hits(docs.select("doc_id", "text"), benchmark).drop("text")
-    df = per_row(df, ["doc_id", "_b_words"], [field("n_hit", "long"), field("n_items", "long"), field("items_sha256", "string")], _digest)
-    return df.select("doc_id", F.col("_b_words").alias("n_words"), "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (hit passages in characters of the text)."""
+    df = scan_hits(docs, benchmark, ["doc_id"])
+    df = per_row(df, ["doc_id", "n_words", "spans"], [field("n_hit", "long"), field("n_items", "long"), field("items_sha256", "string")], _digest)
+    return df.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"), "spans")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark window; columns as they were."""
-    return scan_hits(docs, benchmark).filter(F.length("_b_spans") == 0).select(*docs.columns)
+    return scan_hits(docs.select(as_row(docs), "text"), benchmark, ["row"]).filter("hits = X''").select("row.*")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import per_row, stored, unused
+from strandloom.llm.common import as_row, per_row, stored, unused
 from strandloom.llm.simhash import BKTree, components, majority, shingle_hashes
 
 WORDS, SIMILARITY, BAND, BANDS, RADIUS = 5, 0.8, 3, 18, 80
@@ -251,9 +251,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     plain = docs.filter(F.col("doc_id").isNotNull()).join(named, F.col("doc_id") == F.col(name), "left_anti")
     if several.isEmpty():
         return plain
-    row, node = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), T.StructField("node", T.BinaryType())
+    node = T.StructField("node", T.BinaryType())
     rest = docs.filter(F.col("doc_id").isNull()).unionByName(docs.join(several.withColumnRenamed("id", name), F.col("doc_id") == F.col(name), "left_semi"))
-    rest = per_row(rest.select(row, "text"), ["row"], [node], lambda b: [[class_of(shingle_set(t, words)) for t in b.column("text").to_pylist()]])
+    rest = per_row(rest.select(as_row(docs), "text"), ["row"], [node], lambda b: [[class_of(shingle_set(t, words)) for t in b.column("text").to_pylist()]])
     rest = rest.withColumn("key", F.xxhash64("node", "row.doc_id")).join(kept.select(F.xxhash64("node", "id").alias("key"), F.col("node").alias("own"), "id"), "key")
     rest = rest.filter((F.col("node") == F.col("own")) & F.col("row.doc_id").eqNullSafe(F.col("id")))
     return plain.unionByName(rest.groupBy("node").agg(F.min_by("row", F.struct("row.text")).alias("row")).select("row.*"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import let, stored
+from strandloom.llm.common import as_row, discard, let, stored
 
 #: Quantile 1 - 1e-5 of chi squared with four degrees of freedom.
 CUTOFF = 28.473
@@ -153,7 +153,7 @@ def fit(stats: DataFrame) -> DataFrame:
     groups = stored(_groups(rows), "quality-groups")
     rows = rows.join(groups, ["_lang", "_source"]).drop("_lang", "_source")
     plain = _estimate(rows.groupBy("_group").agg(*_sums()), 1.0, ["_group"]).withColumn("_start", F.lit(1))
-    found = stored(_medians(rows).unionByName(plain), "quality-start")
+    found = start = stored(_medians(rows).unionByName(plain), "quality-start")
     by = ["_group", "_start"]
     w = Window.partitionBy(*by)
     moments = ["_n", *(f"_s{i}" for i in range(1, P + 1)), *(f"_s{i}{j}" for i, j in LOW)]
@@ -164,7 +164,8 @@ def fit(stats: DataFrame) -> DataFrame:
         sums = near.groupBy(*by).agg(*(F.sum(F.col(c) * part).alias(c) for c in moments))
         now = stored(_estimate(sums, CONSISTENT, by).join(found.select(*by, F.col("_det").alias("_last")), by), "quality-step")
         fell = now.agg(F.max(F.col("_last") - F.col("_det"))).first()[0]
-        found = now.drop("_last")
+        discard(start)
+        start, found = now, now.drop("_last")
         if fell is None or step and fell < SETTLED:
             break
     best = found.groupBy("_group").agg(F.min_by(F.struct(*M, *(f"_l{i}{j}" for i, j in LOW)), F.struct("_det", "_start")).alias("_b")).select("_group", "_b.*")
@@ -187,6 +188,5 @@ def quality_table(docs: DataFrame) -> DataFrame:
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """docs without those that the rules reject; columns as they were. Statistics are stored beside the rows, once."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    stats = stored(text_stats(docs.select(row, "text", "lang", "source")).select("row", "lang", "source", "_q_base_failed", *X), "quality-rows")
+    stats = stored(text_stats(docs.select(as_row(docs), "text", "lang", "source")).select("row", "lang", "source", "_q_base_failed", *X), "quality-rows")
     return judge(stats, fit(stats)).filter("_kept").select("row.*")

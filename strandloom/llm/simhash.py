@@ -10,7 +10,8 @@ live where the shuffle puts them and aren't broadcast, as their size has no boun
 are kept (at most one fewer than its fingerprints), so a dense group never emits all its pairs. A shard of over
 SHARD rows is dealt into blocks, and each pair of blocks is a task's work: one block's tree, the other's queries.
 
-Components: alternating large and small stars over the kept links, each round written to the shared folder.
+Components: alternating large and small stars over the kept links until they settle, each round written to the shared
+folder and the one before it deleted.
 
 Nulls: a null or empty text has fingerprint zero, linked like any other; a null doc_id keeps its row, and component_id
 is the smallest id that isn't null. Repeated rows keep their rows.
@@ -27,11 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import LOWER, field, per_row, stored
+from strandloom.llm.common import LOWER, discard, field, per_row, stored
 
 SHINGLE, RADIUS, SHARD = 3, 3, 20_000
 BLOCKS = (11, 11, 11, 11, 10, 10)
-ROUNDS = 60
 
 
 def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -202,18 +202,18 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for every node of edges a < b."""
     edges = stored(edges, "simhash-links")
     state = None
-    for _ in range(ROUNDS):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         star = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b"), F.col("m").alias("a")).filter("a < b").distinct()
         low = star.groupBy("b").agg(F.min("a").alias("m"))
         small = star.join(low, "b").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m")), F.struct(F.col("b").alias("x"), F.col("m")))).alias("e")).select(F.col("e.m").alias("a"), F.col("e.x").alias("b")).filter("a < b").distinct()
-        edges = stored(small, "simhash-stars")
+        edges, old = stored(small, "simhash-stars"), edges
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         state = now
-    raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
 def component_map(marked: DataFrame) -> DataFrame:
