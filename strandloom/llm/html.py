@@ -5,17 +5,18 @@ and id, link share, length of its own text) has a likelihood under either state,
 state passes down. Sum-product messages go up from the leaves and down from the root; their products are the marginals,
 and a block is kept where content is likelier.
 
-Potentials are counted on labelled pages: at most about TRAIN pages, chosen by a hash of the whole page, whose authors
+Potentials are counted on labelled pages: at most TRAIN different pages, chosen by a hash of the whole page, whose authors
 mark the article or main element (everything in it is content but navigation, adverts, forms, comments); with pseudo
 counts PRIOR, so pages of any kind have potentials. In training the marking tag is an evidence kind like any other, so
 a page without it is judged by the rest. Scripts, styles and the like are no nodes.
 
-Whole pages are parsed; no block is dropped or cut for its size. Null or empty html gives empty text; ids and urls may be
+Whole pages are parsed, in time linear in their length (but for lists and paragraphs nested in one another without end); no block is dropped or cut for its size. Null or empty html gives empty text; ids and urls may be
 null or repeated; an empty table gives an empty result (and potentials of PRIOR alone).
 """
 
 from __future__ import annotations
 
+import collections
 import html as entities
 import re
 from collections.abc import Iterable
@@ -29,8 +30,8 @@ from strandloom.llm.common import field, per_row
 
 TRAIN = 512
 #: Elements by what they do.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br picture source track".split())
-HIDDEN = frozenset("script style template noscript iframe object embed svg math canvas head title select option textarea button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr br picture source track math mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded mphantom semantics annotation".split())
+HIDDEN = frozenset("script style template noscript iframe object embed svg canvas head title select option textarea button".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 KINDS = {k: i for i, names in enumerate(("article main", "nav menu", "header", "footer", "aside", "form fieldset dialog", "p blockquote pre figcaption", "h1 h2 h3 h4 h5 h6", "ul ol dl", "li dt dd", "table thead tbody tfoot tr td th caption", "html body"), 1) for k in names.split()}
@@ -41,13 +42,71 @@ SCOPE = frozenset("ul ol dl table body html article section div td".split())
 HEAD = frozenset("base basefont bgsound link meta title noscript noframes script style template head".split())
 TABLE = frozenset("caption table tbody td tfoot th thead tr".split())
 #: Words in class or id that speak against, or for, content.
-AGAINST = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|nav|navigation|navbar|menu|breadcrumbs?|header|footer|sidebar|aside|widget|related|recommended|share|sharing|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|subscription|login|signup|search|form|comments?|replies|reply|discussion|respond|disqus|pagination|pager|copyright|legal|toolbar|skip)(?:$|[\s_-])", re.I)
+AGAINST = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo|nav|navigation|navbar|menu|breadcrumbs?|header|footer|sidebar|aside|widget|related|recommended|share|sharing|social|cookies?|consent|notice|popup|modal|newsletter|subscribe|subscription|login|signup|search|form|comments?|replies|reply|discussion|respond|disqus|pagination|pager|copyright|toolbar|skip)(?:$|[\s_-])", re.I)
 FOR = re.compile(r"(?:^|[\s_-])(?:article|post|story|entry|main|content|body|text)(?:$|[\s_-])", re.I)
 N_KINDS, N_WORDS, N_LINKS, N_SIZES = len(set(KINDS.values())) + 1, 3, 4, 5
 FEATURES = (N_KINDS, N_WORDS, N_LINKS, N_SIZES)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTR = re.compile(r"""(?<![^\s"'])(class|id|role|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/<>]*+")
+_STOP = re.compile(r">|=\s*+([\"'])")
+_ATTR = re.compile(r"""(?<![^\s"'])(class|id|role)\s*+(?:=\s*+("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+
+
+class Markup:
+    """Tags of a page in order, in time linear in its length: no search is begun again where it once came to nothing."""
+
+    def __init__(self, source: str):
+        self.source, self.at = source, 0
+        self.none: set[str] = set()
+        self.quotes = True  # until a tag has no end: then a > in quotes counts too
+
+    def find(self, what: str, at: int) -> int:
+        """As str.find; what isn't found once isn't looked for again, as places only rise."""
+        k = -1 if what in self.none else self.source.find(what, at)
+        if k < 0:
+            self.none.add(what)
+        return k
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends a tag, or -1. Quotes hide a > only after an equals sign."""
+        start = at
+        while self.quotes:
+            m = _STOP.search(self.source, at)
+            if not m:
+                self.quotes = False
+            elif not m[1]:
+                return m.start()
+            else:
+                at = m.end()
+                if (k := self.find(m[1], at)) >= 0:
+                    at = k + 1
+        return self.find(">", start)
+
+    def next(self) -> tuple[int, str, bool, str] | None:
+        """Where text ends, name ("" for comments and the like), whether it is an end tag, attributes; moves past it."""
+        source, at = self.source, self.at
+        while (at := source.find("<", at)) >= 0:
+            if source.startswith("<!--", at):
+                k = self.find("-->", at + 4)
+                self.at = k + 3 if k >= 0 else len(source)
+                return at, "", False, ""
+            if source[at + 1 : at + 2] in ("!", "?") and at + 1 < len(source):
+                k = self.find(">", at)
+                self.at = k + 1 if k >= 0 else len(source)
+                return at, "", False, ""
+            closes = source.startswith("/", at + 1)
+            m = _NAME.match(source, at + 1 + closes)
+            if m and (k := self.end(m.end())) >= 0:
+                self.at = k + 1
+                return at, m.group().lower(), closes, source[m.end() : k]
+            at += 1
+        return None
+
+    def skip(self, name: str) -> None:
+        """Moves past the end tag of an element whose content is no markup, or to the end of the page."""
+        m = re.compile(rf"</{re.escape(name)}(?![^\s/>])", re.I).search(self.source, self.at)
+        k = self.find(">", m.end()) if m else -1
+        self.at = k + 1 if k >= 0 else len(self.source)
 
 
 class Page:
@@ -61,11 +120,13 @@ class Page:
         self.linked: list[int] = [0]
         self.blocks: list[tuple[int, str]] = []
         stack, links = [0], 0
+        # Numbers of open block and hidden elements by name, so that what isn't open isn't looked for.
+        open_, hid = collections.Counter[str](), collections.Counter[str]()
         # Open hidden elements, and how many block elements were open at their start tags.
         hidden: list[tuple[str, int]] = []
         parts: list[str] = []
         link_chars = 0
-        at = 0
+        markup = Markup(source)
 
         def flush() -> None:
             nonlocal link_chars
@@ -79,38 +140,43 @@ class Page:
                     self.linked[k] += min(link_chars, len(text))
             link_chars = 0
 
+        def cut(k: int) -> None:
+            open_.subtract(self.tags[e] for e in stack[k:])
+            del stack[k:]
+
         def end_hidden(name: str) -> None:
             """Ends the innermost open hidden element of that name, and what is open inside it."""
-            for k in range(len(hidden) - 1, -1, -1):
-                if hidden[k][0] == name:
-                    del stack[hidden[k][1] :]
-                    del hidden[k:]
+            while hid[name]:
+                ended, k = hidden.pop()
+                hid[ended] -= 1
+                if ended == name:
+                    cut(k)
                     break
 
         def end_block(k: int) -> None:
             """Ends the block element at place k of the stack, and what is open inside it."""
-            del stack[k:]
+            cut(k)
             while hidden and hidden[-1][1] > k:
-                hidden.pop()
+                hid[hidden.pop()[0]] -= 1
 
         def text(s: str) -> None:
             nonlocal link_chars
             if hidden and hidden[-1][0] == "head" and s.strip():
-                hidden.pop()
+                hid[hidden.pop()[0]] -= 1
             if s and not hidden:
                 s = entities.unescape(s) if "&" in s else s
                 parts.append(s)
                 if links:
                     link_chars += len(s.strip())
 
-        while m := _TOKEN.search(source, at):
-            text(source[at : m.start()])
-            at = m.end()
-            name = m[2]
-            if name is None:
+        at = 0
+        while tag := markup.next():
+            end, name, closes, attributes = tag
+            text(source[at:end])
+            at = markup.at
+            if not name:
                 continue
-            name = name.lower()
-            if m[1]:
+            if closes:
                 if name == "a":
                     links = max(0, links - 1)
                 elif name == "br" or name in INLINE:
@@ -118,7 +184,7 @@ class Page:
                 elif name in HIDDEN:
                     end_hidden(name)
                 else:
-                    for k in range(len(stack) - 1, 0, -1):
+                    for k in range(len(stack) - 1, 0, -1) if open_[name] > 0 else ():
                         if self.tags[stack[k]] == name:
                             flush()
                             end_block(k)
@@ -128,7 +194,7 @@ class Page:
             if name == "br":
                 text(" ")
                 continue
-            closed = m[3].endswith("/") and name not in INLINE
+            closed = attributes.endswith("/") and name not in INLINE
             # End tags that HTML lets pages leave out.
             if hidden:
                 if hidden[-1][0] == "head" and name not in HEAD:
@@ -140,26 +206,31 @@ class Page:
                 elif name in TABLE:
                     end_hidden("select")
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                markup.skip(name)
+                at = markup.at
                 continue
             if name in HIDDEN:
                 if name not in VOID and not closed:
                     hidden.append((name, len(stack)))
+                    hid[name] += 1
                 continue
             if name in INLINE:
                 links += name == "a"
                 continue
             if name in ("body", "article", "main"):
                 hidden.clear()  # an unclosed hidden element ends here
+                hid.clear()
             flush()
             if name in VOID:
                 continue
             # In a hidden element a start tag ends only what was opened there.
             least = hidden[-1][1] if hidden else 0
-            if name in CLOSES_P and "p" in (open_ := [self.tags[k] for k in stack[least:]]):
-                end_block(least + len(open_) - 1 - open_[::-1].index("p"))
-            for other in SAME.get(name, ()):
+            if name in CLOSES_P and open_["p"] > 0:
+                for k in range(len(stack) - 1, least - 1, -1):
+                    if self.tags[stack[k]] == "p":
+                        end_block(k)
+                        break
+            for other in (x for x in SAME.get(name, ()) if open_[x] > 0):
                 for k in range(len(stack) - 1, max(least, 1) - 1, -1):
                     if self.tags[stack[k]] == other:
                         end_block(k)
@@ -167,7 +238,7 @@ class Page:
                     if self.tags[stack[k]] in SCOPE and self.tags[stack[k]] != other:
                         break
             links = 0
-            about = " ".join((v or "").strip("\"'") for _, v in _ATTR.findall(m[3])) if m[3] else ""
+            about = " ".join((v or "").strip("\"'") for _, v in _ATTR.findall(attributes)) if attributes else ""
             self.tags.append(name)
             self.parents.append(stack[-1])
             self.words.append(1 if about and AGAINST.search(about) else 2 if about and FOR.search(about) else 0)
@@ -175,6 +246,7 @@ class Page:
             self.linked.append(0)
             if not closed:
                 stack.append(len(self.tags) - 1)
+                open_[name] += 1
         text(source[at:])
         flush()
 
@@ -283,8 +355,9 @@ class Model:
 
 def train(pages: DataFrame) -> Model:
     share = max(1, pages.count() // TRAIN)
-    sample = pages.filter(F.col("html").isNotNull() & (F.pmod(F.xxhash64("html"), F.lit(share)) == 0)).select("html")
-    return Model(Page(r["html"]) for r in sample.toLocalIterator())
+    mark = F.xxhash64("html")
+    sample = pages.filter(F.col("html").isNotNull() & (F.pmod(mark, F.lit(share)) == 0)).select("html").distinct().orderBy(mark, "html").limit(TRAIN)
+    return Model(Page(r["html"]) for r in sample.collect())
 
 
 def extraction_table(pages: DataFrame) -> DataFrame:

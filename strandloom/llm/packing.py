@@ -6,7 +6,8 @@ LIMIT numbers at most, goes to the driver. There the configuration LP (a variabl
 a sequence) is solved by multiplicative weights: a knapsack dynamic program prices the best configuration under the
 lengths' weights, and the weights of covered lengths fall. Rounded down, the solution's configurations never use more
 pieces than exist; what is left is packed from the histogram by best fit decreasing. Small counts round badly: of some
-shares of the solution the one that ends in the fewest sequences is rounded.
+shares of the solution the one that ends in the fewest sequences is rounded. The weights also bound the program from
+below: rounds end when the plan has no more sequences than that bound.
 
 The plan gives each length runs of (rank, first sequence, offset). A piece's rank among those of its length is counted in
 two steps, in salted groups of at most about GROUP rows, so that a length with a third of all pieces is never in one task.
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import stored
 
-LIMIT, ROUNDS, RATE, GROUP = 2048, 300, 0.3, 50_000
-#: Shares of the LP solution that rounding tries; the fewest sequences win.
-SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.1, 0.0)
+LIMIT, ROUNDS, CHECK, RATE, GROUP = 2048, 300, 20, 0.3, 50_000
+#: Shares of the LP solution that rounding tries (never none of it); the fewest sequences win.
+SHARES = (1.0, 0.95, 0.9, 0.75, 0.5, 0.25, 0.1)
 #: Chunks that a worker keeps, about 200 bytes each.
 CACHE = 3 << 18
 
@@ -132,26 +133,30 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def _best_configuration(value: np.ndarray, most: np.ndarray, limit: int) -> dict[int, int]:
-    """Knapsack by dynamic programming: lengths (with repeats) that fit and are worth most. value: by length, 0 if absent."""
-    best, pick = np.zeros(limit + 1), np.zeros(limit + 1, np.int64)
-    sizes = np.flatnonzero(value > 0)
-    worth = value[sizes]
-    top = np.searchsorted(sizes, np.arange(limit + 1), "right")
-    for w in range(1, limit + 1):
-        k = top[w]
-        if k:
-            options = best[w - sizes[:k]] + worth[:k]
-            j = int(options.argmax())
-            best[w], pick[w] = options[j], sizes[j]
+def _best_configuration(value: np.ndarray, most: np.ndarray, limit: int) -> tuple[dict[int, int], float]:
+    """Bounded knapsack by dynamic programming: lengths that fit, each at most as often as it exists, and their worth.
+
+    value: by length, 0 if absent. Copies of a length are dealt into powers of two, each taken or left once.
+    """
+    best = np.zeros(limit + 1)
+    taken: list[tuple[int, int, np.ndarray]] = []
+    for size in np.flatnonzero(value > 0).tolist():
+        left, copies = min(int(most[size]), limit // size), 1
+        while left:
+            copies = min(copies, left)
+            weight = copies * size
+            with_it = best[: limit + 1 - weight] + copies * value[size]
+            better = with_it > best[weight:]
+            best[weight:] = np.where(better, with_it, best[weight:])
+            taken.append((size, copies, better))
+            left, copies = left - copies, copies * 2
     out: dict[int, int] = {}
     w = limit
-    while w > 0 and pick[w]:
-        size = int(pick[w])
-        if out.get(size, 0) < most[size]:
-            out[size] = out.get(size, 0) + 1
-        w -= size
-    return out
+    for size, copies, better in reversed(taken):
+        if w >= copies * size and better[w - copies * size]:
+            out[size] = out.get(size, 0) + copies
+            w -= copies * size
+    return out, float(best[limit])
 
 
 def solve(counts: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
@@ -169,16 +174,26 @@ def solve(counts: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -> l
         # The first weights are a little over proportional to size: full sequences of large pieces are priced first.
         weight, use = np.where(some, (np.arange(limit + 1) / limit) ** 1.05, 0.0), {}
         total = float((have * np.arange(limit + 1)).sum())
-        for _ in range(rounds):
-            config = _best_configuration(weight / weight.sum(), have, limit)
+        bound, best = total / limit, None
+        for k in range(1, rounds + 1):
+            config, worth = _best_configuration(weight / weight.sum(), have, limit)
+            # The weights over the worth of the best configuration are a solution of the dual program.
+            bound = max(bound, float((have * weight).sum()) / weight.sum() / worth)
             key = tuple(sorted(config.items(), reverse=True))
-            step = min(have[s] / k for s, k in config.items())
+            step = min(have[s] / n for s, n in config.items())
             use[key] = use.get(key, 0.0) + step
-            for s, k in config.items():
-                weight[s] *= 1 - RATE * k * step / have[s]
-        scale = total / max(sum(n * sum(s * k for s, k in c) for c, n in use.items()), 1e-9)
-        order = sorted(use.items(), key=lambda x: (-sum(s * k for s, k in x[0]), -x[1], x[0]))
-        return plan + min((_rounded(order, min(scale, 1.0) * share, have, limit) for share in SHARES), key=lambda rounded: sum(n for _, n in rounded))
+            for s, n in config.items():
+                weight[s] *= 1 - RATE * n * step / have[s]
+            if k % CHECK and k < rounds:
+                continue
+            scale = min(total / max(sum(n * sum(s * m for s, m in c) for c, n in use.items()), 1e-9), 1.0)
+            order = sorted(use.items(), key=lambda x: (-sum(s * m for s, m in x[0]), -x[1], x[0]))
+            found = min((_rounded(order, scale * share, have, limit) for share in SHARES), key=lambda rounded: sum(n for _, n in rounded))
+            if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+                best = found
+            if sum(n for _, n in best) <= np.ceil(bound - 1e-6):
+                break  # no packing has fewer sequences
+        plan += best
     return plan
 
 

@@ -7,7 +7,9 @@ the copy, and a match maps back to source characters. A mapped span is added whe
 
 Every matcher is linear in the text's length: an e-mail is found from its @ sign outwards, a digit run is tried once.
 
-Nulls: a null text is empty and has no spans; ids may be null or repeated. Each row is judged by itself, no shuffle.
+A bare disguise ("name at host dot name") may have any number of names of any length, a run of digit words any length.
+
+Nulls: a null text is empty and has no spans; texts of any length are searched whole; ids may be null or repeated. Each row is judged by itself, no shuffle.
 """
 
 from __future__ import annotations
@@ -85,14 +87,16 @@ _NUMBER = "(?:" + "|".join(sorted(_NUMBERS, key=len, reverse=True)) + ")"
 _OPEN, _CLOSE = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _AT = re.compile(rf"\s{{0,3}}{_OPEN}(?:at|@|arroba|chez){_CLOSE}\s{{0,3}}", re.I)
 _DOT = re.compile(rf"\s{{0,3}}{_OPEN}(?:dot|\.|punkt|point|punto){_CLOSE}\s{{0,3}}", re.I)
-#: Bare words only as a whole disguise: name at host dot name (dot name ...).
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{1,64}(?:(?:\.| (?i:dot) )[A-Za-z0-9_%+-]{1,64}){0,4}( (?i:at) )[A-Za-z0-9-]{1,63}(?:(?:\.| (?i:dot) )[A-Za-z0-9-]{1,63}){0,4} (?i:dot) [A-Za-z]{2,24}(?![A-Za-z0-9])")
+#: Bare words only as a whole disguise: name at host dot name (dot name ...), whose last name is no digit word.
+_BARE_AT = re.compile(" at (?=[a-z0-9-])", re.I)
+_BARE_HOST = re.compile(r"[a-z0-9-]+(?:(?:\.| dot )[a-z0-9-]+)*+", re.I)
+_BARE_END = re.compile(rf" dot (?!{_NUMBER}\Z)[a-z]{{2,24}}\Z", re.I)
 _BARE_DOT = re.compile(" dot ", re.I)
 #: Spelled digits: a run of four or more digit words, with what may stand between and before.
-_SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?{_NUMBER}(?:[ ,-]{{1,2}}(?:(?:dot|point|punkt|punto)[ -]+)?(?:{_NUMBER}|[0-9]{{1,4}})(?!\w)){{3,40}}", re.I)
+_SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]+)?{_NUMBER}(?:[ ,-]{{1,2}}(?:(?:dot|point|punkt|punto)[ -]+)?(?:{_NUMBER}|[0-9]{{1,4}})(?!\w)){{3,}}+", re.I)
 _PIECE = re.compile(rf"plus|dot|point|punkt|punto|{_NUMBER}|[0-9]+", re.I)
 _ODD = re.compile(r"[^\x00-\x7FÀ-ſ]")
-#: What every match of _AT, _DOT and _BARE holds.
+#: What every match of _AT, _DOT and _bare holds.
 _HINT = re.compile(rf"{_OPEN}(?:at|@|arroba|chez|dot|\.|punkt|point|punto){_CLOSE}| dot ", re.I)
 
 
@@ -138,12 +142,39 @@ def _homoglyphs(m: Mapped) -> Mapped:
     return m.edit((x.start(), x.end(), p) for x in _ODD.finditer(m.text) if (p := _plain(x.group())) != x.group())
 
 
+def _bare(text: str) -> Iterable[tuple[int, int, int]]:
+    """Start, place of " at " and end of each bare disguise: outwards from " at ", so in linear time."""
+    done = 0
+    for x in _BARE_AT.finditer(text):
+        host = _BARE_HOST.match(text, x.end())
+        if not _BARE_END.search(text, max(host.start(), host.end() - 29), host.end()):
+            continue
+        first = x.start()
+        while True:
+            at = first
+            while at > done and text[at - 1] in _LOCAL and text[at - 1] != ".":
+                at -= 1
+            if at == first:
+                first = None if first == x.start() else first
+                break
+            first = at
+            if at - 1 > done and text[at - 1] == "." and text[at - 2] in _LOCAL and text[at - 2] != ".":
+                first = at - 1
+            elif at - 5 > done and text[at - 5 : at].lower() == " dot " and text[at - 6] in _LOCAL and text[at - 6] != ".":
+                first = at - 5
+            else:
+                break
+        if first is not None:
+            yield first, x.start(), host.end()
+            done = host.end()
+
+
 def _disguises(m: Mapped) -> Mapped:
     m = m.edit((x.start(), x.end(), "@") for x in _AT.finditer(m.text))
     m = m.edit((x.start(), x.end(), ".") for x in _DOT.finditer(m.text))
     edits: list[tuple[int, int, str]] = []
-    for x in _BARE.finditer(m.text):
-        edits += sorted([(*x.span(1), "@"), *((d.start(), d.end(), ".") for d in _BARE_DOT.finditer(m.text, x.start(), x.end()))])
+    for first, at, end in _bare(m.text):
+        edits += sorted([(at, at + 4, "@"), *((d.start(), d.end(), ".") for d in _BARE_DOT.finditer(m.text, first, end))])
     return m.edit(edits)
 
 

@@ -10,7 +10,8 @@ do no harm. Files are opened with pyarrow's filesystems, which know local, HDFS
 
 Payloads of at least DEDUP_BYTES that are equal share one response, at the largest page_id; the others are revisits that
 carry its id, digest and length. Rows that repeat both page_id and payload of a response are responses too, as nothing
-tells them apart. Digests are grouped with partial maxima, and only groups of two or more meet the pages again.
+tells them apart. Digests are grouped with partial maxima; groups of two or more meet the pages
+again in the tasks that read these, unless they are over HEADS.
 
 Nulls: a null html is empty; a null page_id is never the largest (a group with none but null ids has responses only).
 """
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import new_path, shared_dir, stored
 
 ARCHIVE_BYTES, DEDUP_BYTES, LEVEL, BLOCK = 64 << 20, 1000, 6, 1 << 18
+#: Payloads with copies up to which their digests are sent to every task; more are joined by a shuffle.
+HEADS = 1 << 20
 
 
 def open_fs(folder: str) -> tuple[fs.FileSystem, str]:
@@ -101,6 +104,9 @@ def with_references(pages: DataFrame) -> DataFrame:
     """page_id, url, html and _ref: the response's page_id for a revisit, else null."""
     df = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"_sha": F.sha1("html"), "_n": F.octet_length("html")})
     heads = df.filter(F.col("_n") >= DEDUP_BYTES).groupBy("_sha", "_n").agg(F.count(F.lit(1)).alias("_c"), F.max("page_id").alias("_ref")).filter("_c > 1").drop("_c")
+    heads = stored(heads, "warc-heads")
+    if heads.count() <= HEADS:
+        heads = F.broadcast(heads)
     df = df.join(heads, ["_sha", "_n"], "left")
     return df.select("page_id", "url", "html", F.when(~F.col("_ref").eqNullSafe(F.col("page_id")), F.col("_ref")).alias("_ref"))
 
@@ -157,6 +163,12 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     return stored(files.repartition(max(1, min(archives.count(), 10_000)), "path").mapInArrow(run, "path string"), "warc-normalised")
 
 
+def member(file, at: int, size: int) -> bytes:
+    """A record of a normalised file, by its place in the sidecar index."""
+    file.seek(at)
+    return zlib.decompress(file.read(size), 31)
+
+
 def read_records(archives: DataFrame) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest (checked on responses), record_type, refers_to by the indexes of normalised files."""
 
@@ -165,10 +177,9 @@ def read_records(archives: DataFrame) -> DataFrame:
             for path in b.column("path").to_pylist():
                 system, _ = open_fs(folder)
                 rows: list[tuple] = []
-                with system.open_input_stream(f"{path}.index", compression=None) as lines, system.open_input_stream(path, compression=None) as stream:
-                    index = lines.read().decode().splitlines()
-                    for line in index:
-                        raw = zlib.decompress(stream.read(int(line.split()[1])), 31)
+                with system.open_input_stream(f"{path}.index", compression=None) as lines, system.open_input_file(path) as file:
+                    for line in lines.read().decode().splitlines():
+                        raw = member(file, *map(int, line.split()))
                         end = raw.index(b"\r\n\r\n")
                         h = header(raw[:end])
                         payload = raw[end + 4 : -4]

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -143,6 +144,48 @@ def test_packing_plan_uses_each_piece_once():
         assert used == collections.Counter(counts)
 
 
+def test_packing_small_counts_exactly():
+    """Against all packings of small multisets."""
+
+    def fewest(sizes, limit):
+        best = len(sizes)
+
+        def place(k, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if k == len(sizes):
+                best = len(rooms)
+                return
+            for i in range(len(rooms)):
+                if rooms[i] >= sizes[k] and rooms[i] not in rooms[:i]:
+                    place(k + 1, [*rooms[:i], rooms[i] - sizes[k], *rooms[i + 1 :]])
+            place(k + 1, [*rooms, limit - sizes[k]])
+
+        place(0, [])
+        return best
+
+    rng = random.Random(12)
+    over = 0
+    for _ in range(40):
+        sizes = sorted((rng.randint(1, 100) for _ in range(rng.randint(1, 10))), reverse=True)
+        got = sum(n for _, n in packing.solve(collections.Counter(sizes), 100, 60))
+        over += got - fewest(sizes, 100)
+        assert got <= fewest(sizes, 100) + 1
+    assert over <= 2
+
+
+def test_packing_knapsack_is_bounded():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        value, most = np.zeros(31), np.zeros(31, int)
+        for s in rng.choice(np.arange(1, 31), 5, replace=False):
+            value[s], most[s] = rng.random(), rng.integers(1, 4)
+        config, worth = packing._best_configuration(value, most, 30)
+        best = max((sum(value[s] * k for s, k in c), c) for c in ([(s, k) for s, k in zip(np.flatnonzero(most).tolist(), ks, strict=True)] for ks in np.ndindex(*(most[most > 0] + 1))) if sum(s * k for s, k in c) <= 30)[0]
+        assert worth == pytest.approx(best) and sum(value[s] * k for s, k in config.items()) == pytest.approx(best) and all(k <= most[s] for s, k in config.items())
+
+
 PLAIN = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
 
@@ -182,6 +225,21 @@ def test_pii_disguises_without_other_hints(text, found):
     assert [text[a:b] for a, _, b in pii.all_spans(text)[1]] == found
 
 
+@pytest.mark.parametrize(("text", "found"), [
+    ("server at one dot two dot three dot four", ["one dot two dot three dot four"]), ("plus " + " ".join(["one", "two", "three"] * 20), []), ("one-dot-two-dot-three-dot-four", ["one-dot-two-dot-three-dot-four"]), ("look at example dot", []),
+    ("a dot b dot c dot d dot e dot f dot g at " + "h" * 70 + " dot com", ["a dot b dot c dot d dot e dot f dot g at " + "h" * 70 + " dot com"]), ("meet me at noon at cafe dot com now", ["noon at cafe dot com"]), (". at x dot com", []), ("x@ at b dot com", []),
+])
+def test_pii_bare_disguises(text, found):
+    assert [text[a:b] for a, _, b in pii.all_spans(text)[1]] == found
+
+
+def test_pii_time_is_linear():
+    began = time.process_time()
+    for t in ("a dot ", "a at ", "a at b dot ", "one ", "one dot ", "at dot ", "1.1.", "+1 ", "a@", "@a.", "( at "):
+        pii.all_spans(t * 40_000)
+    assert time.process_time() - began < 60
+
+
 def test_pii_gate_loses_nothing(monkeypatch):
     rng = random.Random(9)
     parts = ["jan", "John", " at ", " AT ", " dot ", " DOT ", "[at]", "( Dot )", "example", "com", "@", ".", "one", "Two", "drei", "cinq", "fünf", "point", "Punkt", "punto", "dot", "plus", "9", "12", ",", "-", " ", " ", " ", "é", "х", "\u212a", "\u017f"]
@@ -210,6 +268,19 @@ def test_language(spark, docs, empty):
     assert language.language_table(empty).count() == 0
 
 
+@pytest.mark.parametrize(("text", "letters"), [("\U0001f600 \U0001f680", 0), ("12 %", 0), ("\U0001d400", 1), ("\U00020000x", 2), ("\ud800 a", 1), ("\u0301", 0), ("\u5b57", 1)])
+def test_language_letters(text, letters):
+    assert sum(c != language.GAP for c in language.codes(text).tolist()) == letters
+
+
+def test_language_of_long_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(w) for _ in range(60)), x) for i in range(60) for x, w in [[("en", ["the", "and", "house", "with"]), ("de", ["und", "der", "haus", "mit"])][i % 2]]]
+    rows += [(100, "der haus und mit " * 200_000, None), (101, "\U0001f600 " * 50_000, "en"), (101, "\U0001f600 " * 50_000, "en")]
+    got = [(r["doc_id"], r["lang_pred"]) for r in language.language_table(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("doc_id >= 100").collect()]
+    assert sorted(got) == [(100, "de"), (101, "und"), (101, "und")]
+
+
 def plain_language(train):
     """Kneser-Ney by dicts over all 4-grams: (texts by language) -> score of a text by language."""
     grams = {x: collections.Counter(g for t in ts for g in language.grams(language.padded(language.codes(t))).tolist()) for x, ts in train.items()}
@@ -339,6 +410,12 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination_table(docs, items.limit(0)).filter("contaminated").count() == 0
     kept = decontaminate.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and kept.count() == sum(n for k, n in want.items() if not k[-1])
+    odd = docs.withColumnsRenamed({"_x": "hits", "n_words": "_b_spans"}).withColumn("row", docs["n_chars"])
+    assert collections.Counter(decontaminate.drop_contaminated(odd, items).collect()) == collections.Counter(r for r in odd.collect() if not plain(r["text"])[-1])
+    texts = {r[0]: r[1] for r in rows if r[0] is not None}
+    for r in decontaminate.contamination_table(docs.filter("doc_id in (12, 13)"), items).collect():
+        inside = [folded(texts[r["doc_id"]][int(a) : int(z)]) for a, z in (x.split(":") for x in r["spans"].split(","))]
+        assert sum(map(len, inside)) == r["n_hit"] > 0
     assert decontaminate.char_spans("Él: Ab-c", [(1, 3)]) == [(4, 8)]
 
 
@@ -461,6 +538,21 @@ def test_warc(spark):
     assert warc.warc_table(pages.limit(0)).count() == 0
 
 
+def test_warc_record_by_offset(spark):
+    from pyarrow import fs
+
+    rows = [(i, "u", f"<p>{i}</p>" * (i * 200 + 1)) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    files = warc.normalise(warc.write_archives(warc.with_references(pages), warc.new_path(spark, "test-a")), warc.new_path(spark, "test-b"))
+    path = files.first()["path"]
+    lines = open(f"{path}.index").read().splitlines()
+    with fs.LocalFileSystem().open_input_file(path) as file:
+        for k in (7, 2, 5):
+            raw = warc.member(file, *map(int, lines[k].split()))
+            end = raw.index(b"\r\n\r\n")
+            assert raw[end + 4 : -4].decode() == rows[int(warc.header(raw[:end])["page-id"])][2]
+
+
 def test_warc_round_trip():
     import io
 
@@ -507,6 +599,29 @@ def test_html_after_a_form(spark):
     assert texts[0] == texts[1] and texts[0].count("\n") == 3
 
 
+@pytest.mark.parametrize("source", ["<b" * 200_000, "<a '" * 100_000, "a<b c " * 60_000, '<a ="' * 60_000, "<a ='x' " * 60_000, "<div>" * 60_000 + "</x>" * 60_000, "<object>" * 40_000 + "</select>" * 40_000, "<script></script" * 30_000, "<!--" * 60_000, "<div><p>a" * 20_000, "<li>" * 60_000])
+def test_html_time_is_linear(source):
+    began = time.process_time()
+    html.Model().extract("<p>first</p>" + source)
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize(("source", "shown"), [
+    ("<p>a < b and <c", ["a < b and <c"]), ("<p title='a > b'>x</p>", ["x"]), ('<p title="it\'s">x</p>', ["x"]), ("<p>if a<3 then</p>", ["if a<3 then"]), ("<p it's>x</p>", ["x"]), ("<p>x<!-- <p>y --> z", ["x z"]),
+    ("<p>x <math><mi>a</mi><mo>+</mo><mi>b</mi></math> y</p>", ["x a+b y"]), ("<p>a</p><p class='x", ["a", "<p class='x"]),
+])
+def test_html_markup(source, shown):
+    assert [t for _, t in html.Page(source).blocks] == shown
+
+
+def test_html_without_an_article(spark):
+    body = "".join(f"<p class=legal-text>{prose(40, random.Random(i)).strip()}</p>" for i in range(4))
+    pages = [f"<html><head><title>x</title><meta a><div class=menu><a href=x>home</a></div><div id=content>{body}</div><div class=footer>about us</div>", f"<html><head><title>x</title><meta a>{body}"]
+    df = spark.createDataFrame([(i, "u", p, "x") for i, p in enumerate(pages)], "page_id long, url string, html string, text string")
+    for r in html.extraction_table(df).collect():
+        assert r["text"].count("\n") == 3 and "home" not in r["text"] and "about" not in r["text"]
+
+
 def test_marginals_equal_enumeration():
     import itertools
     import math
