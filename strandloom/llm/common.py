@@ -47,6 +47,11 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sent_if_small(df: DataFrame, most: int) -> DataFrame:
+    """A stored table, sent to every task if it has at most that many rows; else Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once a row even where body names it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

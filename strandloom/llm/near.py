@@ -15,8 +15,9 @@ with the marks (4 bytes a shingle, a class once a task), so no text is shuffled
 are searched once. A shard of over ROWS classes or BYTES of sets is dealt into blocks, and each pair of blocks is a task's
 work, so none of its pairs is lost.
 
-The rows that go are named by their ids. Up to GONE of them are sent to every task, so texts stay where they are; more
-are joined by a shuffle.
+The rows that go are named by their ids. Up to FEW of them are sent to every task, so texts stay where they are; more
+are joined by a shuffle. The same holds for shards and for classes that are compared, so sets of other classes stay where
+they are. Tables that nothing reads any more are deleted.
 
 Nulls: a null text is empty; texts without words are copies of each other; null ids rank last. Rows that repeat an id, or
 have none, are told apart by their classes. Empty input gives an empty result. Texts of any length are hashed whole.
@@ -34,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import as_row, per_row, stored, unused
+from strandloom.llm.common import as_row, discard, per_row, sent_if_small, stored, unused
 from strandloom.llm.simhash import BKTree, components, majority, shingle_hashes
 
 WORDS, SIMILARITY, BAND, BANDS, RADIUS = 5, 0.8, 3, 18, 80
 #: Distance within which a link is likely: such fingerprints are looked at first.
 LIKELY = 38
-ROWS, BYTES, GONE = 16_000, 64 << 20, 1 << 21
+ROWS, BYTES, FEW = 16_000, 64 << 20, 1 << 21
 #: Odd multipliers of the min-hashes.
 FACTORS = np.array([xxhash.xxh64_intdigest(f"min-hash {i}") | 1 for i in range(BAND * BANDS)], np.uint64)
 #: Odd multipliers that turn a shingle's hash into the four words of a 256-bit fingerprint.
@@ -211,7 +212,7 @@ def _sizes(members: DataFrame) -> DataFrame:
 def work(classes: DataFrame) -> DataFrame:
     """node, s, i, j, side: the shards, and pairs of their blocks, that a class is compared in."""
     keys, zero = classes.select("node", "n", F.explode("shards").alias("s")), F.lit(0)
-    dealt = keys.select("node", "s").join(_sizes(keys), "s").withColumn("r", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(zero, F.col("blocks") - 1)))
+    dealt = keys.select("node", "s").join(sent_if_small(_sizes(keys), FEW), "s").withColumn("r", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(zero, F.col("blocks") - 1)))
     return dealt.select("node", "s", F.least("r", "o").alias("i"), F.greatest("r", "o").alias("j"), F.when(F.col("r") <= F.col("o"), 0).otherwise(1).alias("side"))
 
 
@@ -220,7 +221,8 @@ def near_links(marked: DataFrame, classes: DataFrame, similarity: float = SIMILA
     places = work(classes).groupBy("node").agg(F.collect_list(F.struct("s", "i", "j", "side")).alias("w"))
     compared = stored(places.join(classes.select("node", "fp"), "node"), "near-compared")
     # Each task's first row of a class has its set; one of these is sent on.
-    sets = marked.filter("hashes IS NOT NULL").select("node", "hashes").join(compared.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    wanted = sent_if_small(stored(compared.select("node"), "near-wanted"), FEW)
+    sets = marked.filter("hashes IS NOT NULL").select("node", "hashes").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
     rows = sets.join(compared, "node").select(F.explode("w").alias("w"), "node", "fp", "hashes").select("w.*", "node", "fp", "hashes")
     dealt = rows.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "side", "node")
     return dealt.mapInArrow(_link(similarity), "a binary, b binary").distinct()
@@ -233,8 +235,11 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     known = (F.first(c, ignorenulls=True).alias(c) for c in ("n", "shards", "fp"))
     classes = stored(marked.drop("hashes").groupBy("node").agg(*known, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("d")), "near-classes")
     roots = components(near_links(marked, classes, similarity))
-    roots = classes.select("node", "d").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return marked.select("doc_id", "node"), stored(roots, "near-roots")
+    roots = stored(classes.select("node", "d").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-roots")
+    ids = stored(marked.select("doc_id", "node"), "near-ids")
+    discard(marked)
+    discard(classes)
+    return ids, roots
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -245,9 +250,7 @@ def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY
     several = stored(marked.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("id")), "near-several")
     out_of = marked.select(F.col("doc_id").alias("id")).filter("id IS NOT NULL").join(kept.select("id"), "id", "left_anti")
     gone = stored(out_of.unionByName(several.filter("id IS NOT NULL")).distinct(), "near-gone")
-    named = gone.withColumnRenamed("id", name := unused(docs, "gone"))
-    if gone.count() <= GONE:
-        named = F.broadcast(named)
+    named = sent_if_small(gone, FEW).withColumnRenamed("id", name := unused(docs, "gone"))
     plain = docs.filter(F.col("doc_id").isNotNull()).join(named, F.col("doc_id") == F.col(name), "left_anti")
     if several.isEmpty():
         return plain
