@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.sequence import revcomp
 
+#: Reads are cut from pieces of this many bases (and a read's length more).
+PIECE = 4096
+
 CONTIGS, READ, HEX, BASES = 5, 100, "0123456789abcdef", "ACGTACGTACGTACGT"
 
 REF_SQL = f"""ref AS (SELECT 'ctg' || (p_partkey % {CONTIGS}) AS contig, string_agg(CASE WHEN p_partkey % 97 = 0 THEN repeat('N', 32)
@@ -37,9 +40,11 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = table(spark, sf_dir, "orders").withColumn("contig", F.concat(F.lit("ctg"), (F.col("o_custkey") % CONTIGS).cast("string"))).join(contigs(spark, sf_dir), "contig")
-    placed = placed.withColumn("pos", F.col("o_orderkey") * 7919 % (F.length("seq") - 400))
-    s = F.substring(F.col("seq"), F.col("pos").cast("int") + 1, F.lit(101))
+    starts = F.explode(F.sequence(F.lit(0), F.length("seq"), F.lit(PIECE))).alias("start")
+    pieces = contigs(spark, sf_dir).select("contig", F.length("seq").alias("length"), "seq", starts).select("contig", "length", (F.col("start") / PIECE).cast("long").alias("block"), F.substring(F.col("seq"), F.col("start") + 1, F.lit(PIECE + 101)).alias("piece"))
+    placed = table(spark, sf_dir, "orders").withColumn("contig", F.concat(F.lit("ctg"), (F.col("o_custkey") % CONTIGS).cast("string"))).join(F.broadcast(pieces.select("contig", "length").distinct()), "contig")
+    placed = placed.withColumn("pos", F.col("o_orderkey") * 7919 % (F.col("length") - 400)).withColumn("block", F.floor(F.col("pos") / PIECE)).drop("length").join(pieces, ["contig", "block"])
+    s = F.substring(F.col("piece"), (F.col("pos") % PIECE).cast("int") + 1, F.lit(101))
     cut = placed.select("o_orderkey", "contig", "pos", s.alias("s"))
     sub = lambda a, n: F.substring(F.col("s"), a, n)
     e = F.when(F.col("o_orderkey") % 6 == 1, F.concat(sub(1, 50), F.translate(sub(51, 1), "ACGT", "CGTA"), sub(52, 49))).when(F.col("o_orderkey") % 6 == 2, F.concat(sub(1, 70), sub(72, 30))).otherwise(sub(1, 100))
