@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as fs
 from strandloom.functions.hashing import with_mix64
 from strandloom.operators import intervals, pairs, records, seeding
-from strandloom.plans import align
+from strandloom.plans import align, mate_queries
 from strandloom.plans.fixture import READS_SQL, REF_SQL, contigs, reads, table
 
 K = 19
@@ -120,7 +120,9 @@ def placements(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    return mate_queries.queries() | {
+        "seed_union": lambda s, d: seeding.union_rounds(first := seeding.smems(m := _mems(s, d)), seeding.reseeds(m, first, K, 28, 10)),
+        "concordance_json": lambda s, d: records.concordance(records.primary_records(_sam(s, d, False)), records.primary_records(_sam(s, d, True))).select(F.to_json(F.struct("compared", "only_expected", "only_ours", "all_equal")).alias("report")),
         "revcomp": lambda s, d: reads(s, d).select("read_id", fs.revcomp(F.col("seq")).alias("rc"), fs.nt4(F.lower("seq")).alias("nt4")),
         "nt4_histogram": lambda s, d: intervals.base_histogram(seeding.both_strands(contigs(s, d))),
         "contig_stats": lambda s, d: intervals.contig_stats(contigs(s, d)),
@@ -176,7 +178,7 @@ def _union(beg: str, end: str, where: str = "") -> str:
 
 def oracle_sql() -> dict[str, str]:
     li = "CAST(floor(l_quantity) AS INT)"
-    return {
+    out = mate_queries.oracle_sql() | {
         "revcomp": f"WITH {REF_SQL}, {READS_SQL} SELECT read_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc, seq AS nt4 FROM reads",
         "nt4_histogram": f"WITH {REF_SQL}, t AS (SELECT seq FROM ref UNION ALL SELECT {_RC} FROM ref), b AS (SELECT unnest(['A','C','G','T','N']) AS base) SELECT base, CAST(sum(length(seq) - length(replace(seq, base, ''))) AS BIGINT) AS n FROM t, b GROUP BY base",
         "contig_stats": f"WITH {REF_SQL} SELECT contig, length(seq) AS length, length(seq) - length(replace(seq, 'N', '')) AS n_ambs, CAST(len(regexp_extract_all(seq, 'N+')) AS BIGINT) AS n_holes FROM ref",
@@ -238,3 +240,6 @@ CASE WHEN s > 0 THEN s || 'H' ELSE '' END || m || 'M' || mid || CASE WHEN t > 0
 SELECT l_orderkey, l_linenumber, CAST(least(greatest(1, trunc(t - 6 + 1)), 200) AS INT) AS max_gap, CAST(CASE WHEN a = b AND a - s < 12 THEN 0 ELSE greatest(trunc(least(a, b) - s - 6 + 2), abs(a - b)) END AS INT) AS band FROM x""",
         "read_names": "SELECT c_custkey, c_name AS name, c_mktsegment AS comment FROM customer",
     }
+    out["seed_union"] = f"SELECT *, 1 AS round FROM ({out['smems_round1']}) UNION ALL SELECT *, 2 AS round FROM ({out['smems_round2']})"
+    out["concordance_json"] = f"""SELECT '{{"compared":' || compared || ',"only_expected":' || only_expected || ',"only_ours":' || only_ours || ',"all_equal":' || all_equal || '}}' AS report FROM ({out['sam_concordance']})"""
+    return out

@@ -175,3 +175,79 @@ def test_reads_are_placed(spark):
     right = [r for r in both if r["contig"] == r["truth_contig"] and abs(r["pos"] - r["truth_pos"]) <= 5]
     assert len(both) > 500 and len(right) > 0.95 * len(both)
     assert any("D" in r["cigar"] for r in right) and any(r["nm"] == 1 for r in right)
+
+
+def test_option_texts():
+    from strandloom import options
+
+    assert options.unescape(r"a\tb\nc\\d\qe") == "a\tb\nc\\de" and options.unescape("x\\") == "x\\"
+    assert options.read_group(r"@RG\tID:foo\tSM:bar") == ("@RG\tID:foo\tSM:bar", "foo")
+    for bad in ("RG", r"@RG\tSM:x", r"@RG\tID:" + "x" * 256):
+        with pytest.raises(ValueError):
+            options.read_group(bad)
+    assert options.int_pair("6,5") == (6, 5) and options.int_pair("6.5x") == (6, 5) and options.int_pair("6,-2") == (6, None) and options.int_pair("-3") == (-3, None)
+    with pytest.raises(ValueError):
+        options.int_pair("x")
+    assert options.insert_option("500") == (500.0, 50.0, 300, 700) and options.insert_option("300,20,400,250") == (300.0, 20.0, 250, 400) and options.insert_option("10,50")[2] == 1
+    with pytest.raises(ValueError):
+        options.insert_option("")
+
+
+def test_reference_texts_and_sinks(spark, tmp_path):
+    from strandloom.sources import index_text
+
+    (tmp_path / "x.ann").write_text("30 2 11\n0 chr1 a long note\n0 20 1\n0 chr2 (null)\n20 10 0\n")
+    (tmp_path / "x.amb").write_text("30 2 1\n5 3 N\n")
+    (tmp_path / "x.alt").write_text("@HD\n\nchr2\t0\nchr9\n")
+    assert sorted(map(tuple, index_text.read_contigs(spark, str(tmp_path / "x.ann")).collect())) == [("chr1", "a long note", 0, 20, 1), ("chr2", "(null)", 20, 10, 0)]
+    assert [tuple(r) for r in index_text.read_holes(spark, str(tmp_path / "x.amb")).collect()] == [(5, 3, "N")]
+    assert sorted(r[0] for r in index_text.read_alternates(spark, str(tmp_path / "x.alt")).collect()) == ["chr2", "chr9"]
+    lines = spark.createDataFrame([("a\tb",), ("c",)], "line string")
+    for name in ("o.sam", "o.sam.gz"):
+        index_text.write_records(lines, str(tmp_path / name))
+        assert sorted(r[0] for r in spark.read.text(str(tmp_path / name)).collect()) == ["a\tb", "c"]
+    index_text.write_records(lines, str(tmp_path / "o.parquet"))
+    assert spark.read.parquet(str(tmp_path / "o.parquet")).count() == 2
+    index_text.write_json(lines, str(tmp_path / "o.json"))
+    assert spark.read.json(str(tmp_path / "o.json")).count() == 2
+    with pytest.raises(ValueError):
+        index_text.write_records(lines, str(tmp_path / "o.bam"))
+
+
+def test_pair_scores_equal_formula(spark):
+    import math
+
+    from strandloom.operators import mates
+
+    rows = [(a, b, d, 350.0, 40.0) for a, b in ((90, 80), (0, 0), (30, 5)) for d in range(100, 900, 37)]
+    for r in mates.pair_scores(spark.createDataFrame(rows, "score1 int, score2 int, dist long, mean double, std double")).collect():
+        p = 2 * math.erfc(abs(r["dist"] - 350) / 40 / math.sqrt(2))
+        assert r["score"] == (max(0, int(r["score1"] + r["score2"] + 0.721 * math.log(p) + 0.499)) if p else 0)
+
+
+@pytest.mark.parametrize("step", [1, 2, 4, 8])
+def test_sampled_seeds_are_the_same_at_any_step(spark, step):
+    rng = random.Random(9)
+    unit = dna(30, rng)
+    ref = [("a", dna(60, rng) + unit * 4 + "NN" + dna(5000, rng)), ("b", unit + dna(40, rng).lower() + unit), ("c", "ACG")]
+    reads = [(i, (s := rng.choice(ref[:2])[1])[(a := rng.randrange(max(1, len(s) - 70))) : a + 70]) for i in range(40)] + [(90, "ACGT"), (91, "N" * 40), (92, unit * 2)]
+    r, f = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(ref, "contig string, seq string")
+    got = {tuple(x) for x in seeding.mems(r, f, 19, step).select("read_id", "contig", "strand", "qbeg", "qend", "rbeg").collect()}
+    want = set()
+    for name, s in ref:
+        s = s.upper()
+        for strand, t in ((0, s), (1, s[::-1].translate(str.maketrans("ACGT", "TGCA")))):
+            places = {}
+            for p in range(len(t) - 18):
+                places.setdefault(t[p : p + 19], []).append(p)
+            for i, q in reads:
+                q = q.upper()
+                for b in range(len(q) - 18):
+                    for p in places.get(q[b : b + 19], ()) if "N" not in q[b : b + 19] else ():
+                        if b and p and q[b - 1] == t[p - 1] != "N":
+                            continue
+                        n = 0
+                        while b + n < len(q) and p + n < len(t) and q[b + n] == t[p + n] != "N":
+                            n += 1
+                        want.add((i, name, strand, b, b + n, p))
+    assert got == want
