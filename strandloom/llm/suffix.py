@@ -14,8 +14,9 @@ chunk, so that a string that is everywhere meets itself once a chunk) and answer
 text are found by SHA-256 first and leave the windows to the first copy. Hashes are 64 bits: two different prefixes are
 taken as equal with a chance of about n * n / 2^65 for n remaining prefixes.
 
-Nulls: a null text is empty. A null doc_id comes before all others; rows that repeat an id are ordered by the chunk they
-fall into. Texts under LENGTH bytes lose nothing. Empty input gives an empty result.
+Nulls: a null text is empty. A null doc_id comes before all others; rows that repeat an id are ordered by the digest of
+the chunk that they fall into, then by text. Ids are whole numbers. A text of any length stays in one chunk, whose task has to
+hold it. Texts under LENGTH bytes lose nothing. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -130,6 +131,14 @@ def _name_keys(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return keys, count, at, _ask(keys, n)[0]
 
 
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that has any, and the places of its values in their order: one sort, whatever the number of buckets."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        yield int(bucket[order[a]]), order[a:z]
+
+
 def write_chunks(docs: DataFrame, folder: str) -> DataFrame:
     """chunk (a path), place, doc_id, sha, n_bytes for each text; texts go to files."""
 
@@ -139,9 +148,11 @@ def write_chunks(docs: DataFrame, folder: str) -> DataFrame:
         size = 0
 
         def close() -> pa.RecordBatch:
-            held.sort(key=lambda x: _FIRST if x[0] is None else x[0])
+            held.sort(key=lambda x: (_FIRST if x[0] is None else x[0], x[1]))
             system.create_dir(top, recursive=True)
-            path = f"{top}/{uuid.uuid4().hex}.arrow"
+            # What a chunk holds comes first in its name, so that the order of repeated ids doesn't change from run to run.
+            mark = hashlib.sha256(b"".join(hashlib.sha256(x[1]).digest() for x in held)).hexdigest()[:16]
+            path = f"{top}/{mark}-{uuid.uuid4().hex}.arrow"
             table = pa.table({"doc_id": pa.array([x[0] for x in held], pa.int64()), "text": pa.array([x[1] for x in held], pa.large_binary())})
             with system.open_output_stream(path, compression=None) as f, pa.ipc.new_file(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 w.write_table(table)
@@ -191,8 +202,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         keys, count, of, bucket = _name_keys(h, n_buckets)
         bits = answers(row, "names")
         repeated = count > 1
-        for k in np.unique(bucket).tolist():
-            own = np.flatnonzero(bucket == k)
+        for k, own in _by_bucket(bucket):
             repeated[own] |= bits[k][: len(own)].astype(bool)
         left = c.remaining(at, repeated[of])
         return left, hashes(c.buf, left, LENGTH)
@@ -205,8 +215,8 @@ def dedup(docs: DataFrame) -> DataFrame:
         for b in batches:
             for row in rows(b):
                 keys, _, _, bucket = _name_keys(Chunk(row["chunk"], folder, row["copies"]).names()[1], n_buckets)
-                for k in np.unique(bucket).tolist():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([row["chunk"]]), pa.array([keys[bucket == k].astype(np.uint32).tobytes()], pa.binary())], names=["bucket", "chunk", "names"])
+                for k, own in _by_bucket(bucket):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([row["chunk"]]), pa.array([keys[own].astype(np.uint32).tobytes()], pa.binary())], names=["bucket", "chunk", "names"])
 
     def answer_names(t: pa.Table) -> pa.Table:
         """A name's bit is set when another chunk has it as well. Names are cut to 32 bits: chance meetings only leave more to step 2."""
