@@ -134,8 +134,8 @@ def _name_keys(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that has any, and the places of its values in their order: one sort, whatever the number of buckets."""
     order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+    cuts = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order)).tolist()
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         yield int(bucket[order[a]]), order[a:z]
 
 
