@@ -43,6 +43,16 @@ def insert_samples(ranked: DataFrame, length: int, o: Options = Options()) -> Da
     return both.filter((F.col("size") > 0) & (F.col("size") <= o.max_insert))
 
 
+def with_rescued(ranked: DataFrame, rescued: DataFrame) -> DataFrame:
+    """Both (columns of ranked regions), ranked again: a rescued region stands behind all that score as much as it does.
+
+    rescued: its rank is the order in which its pair's regions were rescued.
+    """
+    both = ranked.withColumn("_late", F.lit(0)).unionByName(rescued.withColumn("_late", F.lit(1)))
+    w = Window.partitionBy("pair_id", "mate").orderBy(F.desc("score"), "_late", "rank", "region_id")
+    return both.withColumn("rank", F.row_number().over(w)).drop("_late")
+
+
 def anchors(ranked: DataFrame, o: Options = Options()) -> DataFrame:
     """Regions from which a mate is looked for: within the price of an unpaired mate of the best, max_rescue at most."""
     best = F.max("score").over(Window.partitionBy("pair_id", "mate"))

@@ -78,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "region_rank": lambda s, d: regions(s, d).select("pair_id", "mate", "region_id", "rank"),
         "competitor_score": lambda s, d: mates.competitors(regions(s, d)).select("pair_id", "mate", "region_id", "csub"),
         "unique_pair_samples": lambda s, d: mates.insert_samples(regions(s, d), LENGTH),
+        "rescued_union": lambda s, d: mates.with_rescued((r := regions(s, d)).filter("region_id % 3 <> 0"), r.filter("region_id % 3 = 0").withColumn("rank", F.col("region_id").cast("int"))).select("pair_id", "mate", "region_id", "rank"),
         "rescue_anchors": lambda s, d: mates.anchors(regions(s, d)).select("pair_id", "mate", "region_id", "score"),
         "rescue_windows": _windows,
         "supplementary_tags": lambda s, d: mates.supplementary_tags(_records(s, d)).select("read_id", "record", "sa"),
@@ -104,6 +105,7 @@ def oracle_sql() -> dict[str, str]:
         "competitor_score": f"WITH {REGIONS} SELECT pair_id, mate, region_id, csub FROM cs",
         "unique_pair_samples": f"""WITH {REGIONS}, u AS (SELECT * FROM cs WHERE csub <= 0.8::DOUBLE * score),
 x AS (SELECT a.pair_id, {direction} AS dir, {size} AS size FROM u a JOIN u b ON a.pair_id = b.pair_id AND a.mate = 0 AND b.mate = 1 AND a.contig = b.contig) SELECT * FROM x WHERE size > 0 AND size <= 10000""",
+        "rescued_union": f"WITH {REGIONS} SELECT pair_id, mate, region_id, CAST(row_number() OVER (PARTITION BY pair_id, mate ORDER BY score DESC, region_id % 3 = 0, CASE WHEN region_id % 3 = 0 THEN region_id ELSE rank END) AS INT) AS rank FROM r",
         "rescue_anchors": f"WITH {REGIONS} SELECT pair_id, mate, region_id, score FROM anchor",
         "rescue_windows": f"""WITH {REGIONS}, st AS (SELECT * FROM (VALUES {stats}) t(dir, low, high)),
 w AS (SELECT a.*, dir, dir IN (1, 2) AS reverse, greatest(0, CASE WHEN dir < 2 THEN rb + low ELSE rb - high END - CASE WHEN dir IN (1, 2) THEN 100 ELSE 0 END) AS b0,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as fs
 from strandloom.functions.hashing import with_mix64
-from strandloom.operators import intervals, pairs, records, seeding
+from strandloom.operators import intervals, minimizers, pairs, records, seeding
 from strandloom.plans import align, mate_queries
 from strandloom.plans.fixture import READS_SQL, REF_SQL, contigs, reads, table
 
@@ -121,7 +121,10 @@ def placements(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return mate_queries.queries() | {
-        "seed_union": lambda s, d: seeding.union_rounds(first := seeding.smems(m := _mems(s, d)), seeding.reseeds(m, first, K, 28, 10)),
+        "seed_union": lambda s, d: seeding.union_rounds(first := seeding.smems(m := _mems(s, d)), seeding.reseeds(m, first, K, 28, 10), seeding.round_three(m, reads(s, d), K + 1, 20)),
+        "seeds_round3": lambda s, d: seeding.round_three(_mems(s, d), reads(s, d), K + 1, 20),
+        "minimizer_index": lambda s, d: minimizers.minimizers(contigs(s, d), ["contig"]),
+        "minimizer_places": lambda s, d: minimizers.minimizer_places(minimizers.minimizers(reads(s, d), ["read_id"], 15, 5), minimizers.minimizers(contigs(s, d), ["contig"], 15, 5), 20),
         "concordance_json": lambda s, d: records.concordance(records.primary_records(_sam(s, d, False)), records.primary_records(_sam(s, d, True))).select(F.to_json(F.struct("compared", "only_expected", "only_ours", "all_equal")).alias("report")),
         "revcomp": lambda s, d: reads(s, d).select("read_id", fs.revcomp(F.col("seq")).alias("rc"), fs.nt4(F.lower("seq")).alias("nt4")),
         "nt4_histogram": lambda s, d: intervals.base_histogram(seeding.both_strands(contigs(s, d))),
@@ -170,6 +173,27 @@ best AS (SELECT * FROM diags QUALIFY row_number() OVER (PARTITION BY read_id ORD
 placed_best AS (SELECT b.read_id, b.contig, b.strand, CASE WHEN b.strand = 0 THEN diag ELSE length(ref.seq) - diag - length(reads.seq) END AS pos, matched FROM best b JOIN ref USING (contig) JOIN reads USING (read_id))"""
 
 
+def _minimizers(name: str, source: str, by: str, w: int) -> str:
+    """CTEs that end in name: minimizers of source."""
+    k = 15
+    number = lambda c: " + ".join(f"(instr('ACGT', substr({c}, {i + 1}, 1)) - 1) * {4 ** (k - 1 - i)}" for i in range(k))
+
+    def mixed(table: str, column: str) -> str:
+        """The integer hash, a step a level."""
+        mask = (1 << 2 * k) - 1
+        steps = (f"((-v - 1) + (v << 21)) & {mask}", "xor(v, v >> 24)", f"(v + (v << 3) + (v << 8)) & {mask}", "xor(v, v >> 14)", f"(v + (v << 2) + (v << 4)) & {mask}", "xor(v, v >> 28)", f"(v + (v << 31)) & {mask}")
+        out = f"SELECT kmer, CAST({number(column)} AS BIGINT) AS v FROM {table}"
+        for step in steps:
+            out = f"SELECT kmer, {step} AS v FROM ({out})"
+        return f"({out})"
+
+    return f"""{name}_k AS (SELECT {by}, i AS pos, length(seq) - {k} + 1 AS n, substr(seq, CAST(i + 1 AS INT), {k}) AS kmer FROM (SELECT {by}, seq, unnest(generate_series(0, length(seq) - {k})) AS i FROM {source})),
+{name}_d AS (SELECT DISTINCT kmer, translate(reverse(kmer), 'ACGT', 'TGCA') AS rc FROM {name}_k WHERE kmer NOT LIKE '%N%'),
+{name}_h AS (SELECT kmer, least(f.v, r.v) AS hash, CAST(r.v < f.v AS INT) AS strand FROM {mixed(name + "_d", "kmer")} f JOIN {mixed(name + "_d", "rc")} r USING (kmer)),
+{name}_m AS (SELECT {by}, pos, n, hash, strand, CASE WHEN pos <= greatest(n - {w}, 0) THEN min(hash) OVER (PARTITION BY {by} ORDER BY pos ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) END AS low FROM {name}_k LEFT JOIN {name}_h USING (kmer)),
+{name} AS (SELECT {by}, pos, strand, hash FROM (SELECT *, max(low) OVER (PARTITION BY {by} ORDER BY pos ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS top FROM {name}_m) WHERE hash = top)"""
+
+
 def _union(beg: str, end: str, where: str = "") -> str:
     """Covered length by sweeping interval ends."""
     return f"""(SELECT read_id, sum(greatest(0, e - greatest(b, coalesce(p, b)))) AS c FROM (SELECT read_id, {beg} AS b, {end} AS e,
@@ -240,6 +264,18 @@ CASE WHEN s > 0 THEN s || 'H' ELSE '' END || m || 'M' || mid || CASE WHEN t > 0
 SELECT l_orderkey, l_linenumber, CAST(least(greatest(1, trunc(t - 6 + 1)), 200) AS INT) AS max_gap, CAST(CASE WHEN a = b AND a - s < 12 THEN 0 ELSE greatest(trunc(least(a, b) - s - 6 + 2), abs(a - b)) END AS INT) AS band FROM x""",
         "read_names": "SELECT c_custkey, c_name AS name, c_mktsegment AS comment FROM customer",
     }
-    out["seed_union"] = f"SELECT *, 1 AS round FROM ({out['smems_round1']}) UNION ALL SELECT *, 2 AS round FROM ({out['smems_round2']})"
+    out["seeds_round3"] = f"""WITH RECURSIVE {_MEMS}, spot AS (SELECT read_id, seq, unnest(generate_series(0, length(seq) - 1)) AS x FROM reads),
+crowd AS (SELECT read_id, x, max(e) AS e FROM (SELECT i.read_id, x, i.qend AS e, sum(j.n) AS n FROM (SELECT DISTINCT s.read_id, x, qend FROM spot s JOIN ivs i ON i.read_id = s.read_id AND qbeg <= x AND qend > x) i
+  JOIN ivs j ON j.read_id = i.read_id AND j.qbeg <= x AND j.qend >= i.qend GROUP BY ALL) WHERE n >= 20 GROUP BY ALL),
+step AS (SELECT read_id, x, greatest(x + {K + 1}, coalesce(e, 0) + 1) AS e, CASE WHEN contains(substr(seq, CAST(x + 1 AS INT)), 'N') THEN x + instr(substr(seq, CAST(x + 1 AS INT)), 'N') - 1 ELSE length(seq) END AS stop FROM spot LEFT JOIN crowd USING (read_id, x)),
+walk AS (SELECT * FROM step WHERE x = 0 UNION ALL SELECT s.* FROM walk w JOIN step s ON s.read_id = w.read_id AND s.x = CASE WHEN w.stop < w.e THEN w.stop + 1 ELSE w.e END)
+SELECT w.read_id, CAST(x AS INT) AS qbeg, CAST(w.e AS INT) AS qend, CAST(sum(n) AS BIGINT) AS n FROM walk w JOIN ivs i ON i.read_id = w.read_id AND i.qbeg <= x AND i.qend >= w.e WHERE stop >= w.e GROUP BY ALL"""
+    out["minimizer_index"] = f"WITH {REF_SQL}, {_minimizers('mz', 'ref', 'contig', 10)} SELECT * FROM mz"
+    out["minimizer_places"] = f"""WITH {REF_SQL}, {READS_SQL}, {_minimizers('mr', 'ref', 'contig', 5)}, {_minimizers('mq', 'reads', 'read_id', 5)},
+rare AS (SELECT * FROM mr QUALIFY count(*) OVER (PARTITION BY hash) <= 20),
+hit AS (SELECT read_id, contig, CAST(q.strand <> r.strand AS INT) AS strand, CASE WHEN q.strand = r.strand THEN r.pos - q.pos ELSE r.pos + q.pos END AS d FROM mq q JOIN rare r USING (hash)),
+c AS (SELECT read_id, contig, strand, CAST(floor(d / 64) AS BIGINT) - o AS band, count(*) AS n FROM hit, (VALUES (0), (1)) t(o) GROUP BY ALL)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY n DESC, contig, strand, band) = 1"""
+    out["seed_union"] = f"SELECT *, 1 AS round FROM ({out['smems_round1']}) UNION ALL SELECT *, 2 AS round FROM ({out['smems_round2']}) UNION ALL SELECT *, 3 AS round FROM ({out['seeds_round3']})"
     out["concordance_json"] = f"""SELECT '{{"compared":' || compared || ',"only_expected":' || only_expected || ',"only_ours":' || only_ours || ',"all_equal":' || all_equal || '}}' AS report FROM ({out['sam_concordance']})"""
     return out

@@ -158,7 +158,7 @@ def rows(df):
     return sorted((tuple(clean(r[c]) for c in sorted(r)) for r in df), key=str)
 
 
-@pytest.mark.parametrize("name", ["nt4_histogram", "contig_stats", "mem_seeds", "smems_round1", "smems_round2", "best_placement", "chain_weight", "frac_rep", "contig_lookup", "insert_stats", "pair_top2", "xa_groups", "mapq_se", "sam_concordance", "first_record_caps", "cigar_text"])
+@pytest.mark.parametrize("name", ["nt4_histogram", "contig_stats", "mem_seeds", "smems_round1", "smems_round2", "seeds_round3", "seed_union", "minimizer_index", "minimizer_places", "rescued_union", "best_placement", "chain_weight", "frac_rep", "contig_lookup", "insert_stats", "pair_top2", "xa_groups", "mapq_se", "sam_concordance", "first_record_caps", "cigar_text"])
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("part", "orders", "lineitem", "supplier", "customer"):
@@ -167,6 +167,72 @@ def test_queries_equal_sql(spark, name):
     assert rows([r.asDict() for r in q.queries()[name](spark, SF).collect()]) == rows([dict(zip(want.columns, r, strict=True)) for r in want.fetchall()])
 
 
+def plain_round_three(read, texts, least, most):
+    """Every string is counted in the texts of both strands."""
+    x = 0
+    while x < len(read):
+        for end in range(x + 1, len(read) + 1):
+            if read[end - 1] == "N":
+                break
+            n = sum(t.startswith(read[x:end], i) for t in texts for i in range(len(t))) if end - x >= least else most
+            if n < most:
+                if n:
+                    yield x, end, n
+                break
+        x = end
+
+
+def test_round_three(spark):
+    rng = random.Random(5)
+    unit = dna(40, rng)
+    ref = "".join(dna(15, rng) + unit[rng.randrange(8) : rng.randrange(28, 41)] for _ in range(8))
+    reads = [(i, ref[s : s + 60]) for i, s in enumerate(range(0, len(ref) - 60, 17))] + [(90, unit), (91, unit[:20] + "N" + unit[20:]), (92, "N" * 30), (93, "ACG"), (94, unit + dna(30, rng)), (95, "")]
+    df, r = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame([("c", ref)], "contig string, seq string")
+    texts = [ref, ref[::-1].translate(str.maketrans("ACGT", "TGCA"))]
+    for most in (2, 4, 20):
+        got = seeding.round_three(seeding.mems(df, r, 11), df, 12, most).collect()
+        assert sorted((x["read_id"], x["qbeg"], x["qend"], x["n"]) for x in got) == sorted((i, *x) for i, s in reads for x in plain_round_three(s, texts, 12, most))
+
+
+def test_minimizers(spark):
+    """Against every window of a text, over the edges of blocks, with other letters, ties, short and null texts."""
+    from strandloom.operators import minimizers as mz
+
+    rng = random.Random(6)
+    texts = {"a": dna(300, rng), "b": "A" * 60 + "N" + dna(70, rng) + "AC" * 20, "c": dna(16, rng), "d": "ACG", "e": None, "f": "", "g": "N" * 40}
+    k, w = 7, 5
+
+    def code(v, bits=2 * k):
+        m = (1 << bits) - 1
+        v = (~v + (v << 21)) & m
+        v ^= v >> 24
+        v = (v + (v << 3) + (v << 8)) & m
+        v ^= v >> 14
+        v = (v + (v << 2) + (v << 4)) & m
+        v ^= v >> 28
+        return (v + (v << 31)) & m
+
+    def plain(s):
+        def value(x):
+            if set(x) - set("ACGT"):
+                return None
+            a, b = (code(int("".join(str("ACGT".index(c)) for c in y), 4)) for y in (x, x[::-1].translate(str.maketrans("ACGT", "TGCA"))))
+            return (min(a, b), int(b < a))
+
+        h = [value(s[i : i + k]) for i in range(len(s) - k + 1)]
+        out = set()
+        for i in range(max(len(h) - w, 0) + 1):
+            seen = [(j, x) for j, x in enumerate(h[i : i + w], i) if x]
+            out |= {(j, x[1], x[0]) for j, x in seen if x[0] == min(y[0] for _, y in seen)}
+        return out
+
+    df = spark.createDataFrame(list(texts.items()), "contig string, seq string")
+    got = [tuple(r) for r in mz.minimizers(df, ["contig"], k, w, size=16).select("contig", "pos", "strand", "hash").collect()]
+    assert sorted(got) == sorted((n, *x) for n, s in texts.items() if s for x in plain(s))
+    with pytest.raises(ValueError):
+        mz.minimizers(df, ["contig"], 8, 5)
+
+
 def test_reads_are_placed(spark):
     got = q.queries()["align_se"](spark, SF).filter("mapq > 0").select("read_id", "contig", "pos", "cigar", "nm")
     from strandloom.plans.fixture import reads
