@@ -7,12 +7,17 @@ hash. Every window and join carries the pair, so a pair's regions meet in one ta
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandloom.functions.sequence import cigar_text, mate_orientation, template_length
+from strandloom.functions.sequence import cigar_text, mate_orientation, revcomp, template_length
+from strandloom.operators.extension import slices
+from strandloom.operators.lanes import local_many
 from strandloom.options import Options
 
 MIN_RATIO = 0.8
@@ -74,7 +79,7 @@ def clamp(df: DataFrame, contigs: DataFrame, length: int, beg: str, end: str) ->
 
 
 def rescue_windows(found: DataFrame, regions: DataFrame, stats: DataFrame, contigs: DataFrame, length: int, mate_length: Column, o: Options = Options()) -> DataFrame:
-    """pair_id, mate (that of the anchor), region_id, dir, reverse, beg, end: where the other mate of an anchor is searched.
+    """pair_id, mate (that of the anchor), region_id, contig, dir, reverse, beg, end: where the other mate of an anchor is searched.
 
     stats: dir, low, high, failed; four rows. A direction is left out where it failed, or where the anchor already has a
     region of the other mate at a distance within its window.
@@ -89,7 +94,32 @@ def rescue_windows(found: DataFrame, regions: DataFrame, stats: DataFrame, conti
     beg, end = F.when(ahead, F.col("_rb") + F.col("low")).otherwise(F.col("_rb") - F.col("high")), F.when(ahead, F.col("_rb") + F.col("high")).otherwise(F.col("_rb") - F.col("low"))
     df = df.withColumns({"reverse": reverse, "beg": F.greatest(beg - F.when(reverse, F.col("_len")).otherwise(0), F.lit(0)), "end": F.least(end + F.when(reverse, 0).otherwise(F.col("_len")), F.lit(2 * length))})
     cut = clamp(df.filter("beg < end"), contigs, length, "beg", "end")
-    return cut.filter((F.col("contig_at") == F.col("_contig")) & (F.col("end") - F.col("beg") >= o.min_seed)).select("pair_id", "mate", "region_id", "dir", "reverse", "beg", "end")
+    return cut.filter((F.col("contig_at") == F.col("_contig")) & (F.col("end") - F.col("beg") >= o.min_seed)).select("pair_id", "mate", "region_id", F.col("contig_at").alias("contig"), "dir", "reverse", "beg", "end")
+
+
+def rescue(windows: DataFrame, reads: DataFrame, ref: DataFrame, contigs: DataFrame, length: int, o: Options = Options()) -> DataFrame:
+    """pair_id, mate (the rescued one), anchor, contig, dir, score, csub, qb, qe, rb, re of the mates found in windows; rb, re in the text of both strands.
+
+    reads: pair_id, mate, seq. A window's bases and the mate meet in one row; batches of rows are aligned together.
+    """
+    at = F.broadcast(contigs.select("contig", "offset", F.col("length").alias("_n")))
+    df = windows.withColumn("mate", 1 - F.col("mate")).join(reads.select("pair_id", "mate", "seq"), ["pair_id", "mate"]).join(at, "contig")
+    strand = (F.col("beg") >= length).cast("int")
+    start = F.when(strand == 1, 2 * length - F.col("offset") - F.col("_n")).otherwise(F.col("offset"))
+    jobs = df.select("pair_id", "mate", F.col("region_id").alias("anchor"), "contig", "dir", "reverse", F.length("seq").alias("_size"), F.when(F.col("reverse"), revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("_query"), F.col("beg").alias("_from"), strand.alias("strand"), (F.col("beg") - start).alias("beg"), (F.col("end") - start).alias("end"))
+    jobs = slices(jobs.withColumn("job", F.xxhash64("pair_id", "mate", "anchor", "dir")), ref)
+    keep = ["pair_id", "mate", "anchor", "contig", "dir", "reverse", "_size", "_from"]
+    names = ("score", "_qb", "_qe", "_tb", "_te", "csub")
+    schema = T.StructType([*(jobs.schema[c] for c in keep), *(T.StructField(n, T.IntegerType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = local_many(b.column("_query").to_pylist(), b.column("target").to_pylist(), o, o.min_seed * o.match)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array(c, pa.int32()) for c in made.T)], names=schema.names)
+
+    found = jobs.select(*keep, "_query", "target").mapInArrow(run, schema).filter(rescue_accepted(F.col("score"), F.col("_qb"), o))
+    turned = lambda a, b: F.when(F.col("reverse"), a).otherwise(b)
+    return found.select("pair_id", "mate", "anchor", "contig", "dir", "score", "csub", turned(F.col("_size") - F.col("_qe"), F.col("_qb")).alias("qb"), turned(F.col("_size") - F.col("_qb"), F.col("_qe")).alias("qe"), turned(2 * length - F.col("_from") - F.col("_te"), F.col("_from") + F.col("_tb")).alias("rb"), turned(2 * length - F.col("_from") - F.col("_tb"), F.col("_from") + F.col("_te")).alias("re"))
 
 
 def rescue_accepted(score: Column, qb: Column, o: Options = Options()) -> Column:

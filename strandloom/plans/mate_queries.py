@@ -47,7 +47,7 @@ def _windows(s: SparkSession, d: str) -> DataFrame:
     r = regions(s, d)
     stats = s.createDataFrame([(k, *x) for k, x in enumerate(WINDOWS)], "dir int, low int, high int, failed boolean")
     contigs = s.createDataFrame([("a", 0, 6000), ("b", 6000, 4000)], "contig string, offset long, length long")
-    return mates.rescue_windows(mates.anchors(r), r, stats, contigs, LENGTH, F.lit(100))
+    return mates.rescue_windows(mates.anchors(r), r, stats, contigs, LENGTH, F.lit(100)).drop("contig")
 
 
 def _records(s: SparkSession, d: str) -> DataFrame:

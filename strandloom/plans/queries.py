@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as fs
 from strandloom.functions.hashing import with_mix64
 from strandloom.operators import intervals, minimizers, pairs, records, seeding
-from strandloom.plans import align, mate_queries
+from strandloom.plans import align, line_queries, mate_queries
 from strandloom.plans.fixture import READS_SQL, REF_SQL, contigs, reads, table
 
 K = 19
@@ -120,7 +120,7 @@ def placements(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return mate_queries.queries() | {
+    return mate_queries.queries() | line_queries.queries() | {
         "seed_union": lambda s, d: seeding.union_rounds(first := seeding.smems(m := _mems(s, d)), seeding.reseeds(m, first, K, 28, 10), seeding.round_three(m, reads(s, d), K + 1, 20)),
         "seeds_round3": lambda s, d: seeding.round_three(_mems(s, d), reads(s, d), K + 1, 20),
         "minimizer_index": lambda s, d: minimizers.minimizers(contigs(s, d), ["contig"]),
@@ -202,7 +202,7 @@ def _union(beg: str, end: str, where: str = "") -> str:
 
 def oracle_sql() -> dict[str, str]:
     li = "CAST(floor(l_quantity) AS INT)"
-    out = mate_queries.oracle_sql() | {
+    out = mate_queries.oracle_sql() | line_queries.oracle_sql() | {
         "revcomp": f"WITH {REF_SQL}, {READS_SQL} SELECT read_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc, seq AS nt4 FROM reads",
         "nt4_histogram": f"WITH {REF_SQL}, t AS (SELECT seq FROM ref UNION ALL SELECT {_RC} FROM ref), b AS (SELECT unnest(['A','C','G','T','N']) AS base) SELECT base, CAST(sum(length(seq) - length(replace(seq, base, ''))) AS BIGINT) AS n FROM t, b GROUP BY base",
         "contig_stats": f"WITH {REF_SQL} SELECT contig, length(seq) AS length, length(seq) - length(replace(seq, 'N', '')) AS n_ambs, CAST(len(regexp_extract_all(seq, 'N+')) AS BIGINT) AS n_holes FROM ref",
