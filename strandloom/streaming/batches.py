@@ -14,17 +14,20 @@ READS = T.StructType([T.StructField("read_id", T.LongType()), T.StructField("seq
 def batch_ids(reads: DataFrame, bases: int, by: str = "file") -> DataFrame:
     """reads (file, ordinal, seq) with batch_id: a batch takes reads until it holds `bases`, the one that crosses included.
 
-    Each file's lengths (8 bytes a read, no sequences) are folded in order; files are independent.
+    Each file's lengths (8 bytes a read, no sequences) are folded in order, and only the places where batches begin are
+    kept; files are independent.
     """
     sizes = reads.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ordinal", F.length("seq").alias("n")))).alias("r"))
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("id"), F.array().cast("array<struct<ordinal:bigint,batch_id:int>>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array(F.lit(0)).alias("begin"))
 
     def step(acc, x):
         full = acc["sum"] >= bases
-        number = acc["id"] + F.when(full, 1).otherwise(0)
-        return F.struct((F.when(full, F.lit(0)).otherwise(acc["sum"]) + x["n"]).cast("long").alias("sum"), number.alias("id"), F.concat(acc["out"], F.array(F.struct(x["ordinal"].cast("long").alias("ordinal"), number.alias("batch_id")))).alias("out"))
+        return F.struct((F.when(full, F.lit(0)).otherwise(acc["sum"]) + x["n"]).cast("long").alias("sum"), F.when(full, F.concat(acc["begin"], F.array(x["i"]))).otherwise(acc["begin"]).alias("begin"))
 
-    ids = sizes.select(by, F.explode(F.aggregate("r", start, step)["out"]).alias("x")).select(by, F.col("x.ordinal").alias("ordinal"), F.col("x.batch_id").alias("batch_id"))
+    placed = F.transform("r", lambda x, i: F.struct(x["n"].alias("n"), i.alias("i")))
+    begins = sizes.select(by, "r", F.aggregate(placed, start, step)["begin"].alias("begin")).select(by, "r", "begin", F.posexplode("begin").alias("batch_id", "_a"))
+    last = F.coalesce(F.get("begin", F.col("batch_id") + 1), F.size("r"))
+    ids = begins.select(by, "batch_id", F.explode(F.slice("r", F.col("_a") + 1, last - F.col("_a"))).alias("x")).select(by, F.col("x.ordinal").alias("ordinal"), "batch_id")
     return reads.join(ids, [by, "ordinal"])
 
 
