@@ -7,34 +7,67 @@ invertible integer hash of 2k bits, of whichever of a k-mer and its reverse comp
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandloom.functions.sequence import kmers, revcomp
+from strandloom.operators.cutting import pieces
 
 BLOCK = 4096
-
-
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), which is worked out once even where use reads it for each element of an array."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def integer_hash(key: Column, bits: int) -> Column:
-    """Invertible hash of a number of that many bits (62 at most less the largest shift, so 32)."""
-    cut = lambda c: c.bitwiseAND(F.lit((1 << bits) - 1))
-    fold = lambda right: lambda v: v.bitwiseXOR(F.shiftright(v, right))
-    grow = lambda *lefts: lambda v: cut(sum((F.shiftleft(v, n) for n in lefts), v))
-    out = _let(key, lambda v: cut(F.bitwise_not(v) + F.shiftleft(v, 21)))
-    for step in (fold(24), grow(3, 8), fold(14), grow(2, 4), fold(28), grow(31)):
-        out = _let(out, step)
-    return out
-
-
-def _packed(kmer: Column) -> Column:
-    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
+#: Bases hashed at a time, and what stands for no hash.
+AT_ONCE, NONE = 1 << 18, np.int64(1) << 62
+CODES = np.full(256, 4, np.int64)
+CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+
+def _hashed(v: np.ndarray, bits: int) -> np.ndarray:
+    """Invertible hash of numbers of that many bits (30 at most), in place of a new array for each step."""
+    mask = np.int64((1 << bits) - 1)
+    v = (~v + (v << 21)) & mask
+    v ^= v >> 24
+    v = (v + (v << 3) + (v << 8)) & mask
+    v ^= v >> 14
+    v = (v + (v << 2) + (v << 4)) & mask
+    v ^= v >> 28
+    return (v + (v << 31)) & mask
+
+
+def _chosen(data: np.ndarray, sizes: np.ndarray, lead: np.ndarray, start: np.ndarray, n: np.ndarray, k: int, w: int, size: int) -> tuple[np.ndarray, ...]:
+    """Of pieces that lie behind each other in data: row, pos, strand and hash of their minimizers."""
+    pad = k + w  # what is no base parts the pieces, so no window reaches another one
+    ends = np.cumsum(sizes + pad)
+    begins = ends - sizes - pad
+    total = int(ends[-1])
+    row = np.repeat(np.arange(len(sizes)), sizes + pad)
+    within = np.arange(total) - begins[row]
+    codes = np.full(total, 4, np.int64)
+    codes[within < sizes[row]] = CODES[data]
+    m = total - k + 1
+    fore, back, bad = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, bool)
+    for j in range(k):
+        c = codes[j : j + m]
+        bad |= c > 3
+        c = c & 3
+        fore = (fore << 2) | c
+        back |= (3 - c) << (2 * j)
+    code = np.minimum(_hashed(fore, 2 * k) * 2, _hashed(back, 2 * k) * 2 + 1)
+    code[bad] = NONE
+    row, within = row[:m], within[:m]
+    place, own = lead[row] + within, within <= sizes[row] - k
+    low = code.copy()
+    for j in range(1, w):
+        np.minimum(low[: m - j], code[j:], out=low[: m - j])
+    low[~own | (low == NONE) | (place > np.maximum(n - w, 0)[row])] = -1
+    low >>= 1
+    top = low.copy()
+    for j in range(1, w):
+        np.maximum(top[j:], low[: m - j], out=top[j:])
+    at = np.flatnonzero(own & (code != NONE) & (code >> 1 == top) & (place >= start[row]) & (place < start[row] + size))
+    return row[at], place[at], (code[at] & 1).astype(np.int32), top[at]
 
 
 def minimizers(texts: DataFrame, by: Sequence[str], k: int = 15, w: int = 10, size: int = BLOCK) -> DataFrame:
@@ -45,28 +78,24 @@ def minimizers(texts: DataFrame, by: Sequence[str], k: int = 15, w: int = 10, si
     """
     if k % 2 == 0 or not 1 <= k <= 15 or w < 1:
         raise ValueError("k is odd and at most 15, w at least 1")
-    df = texts.select(*by, F.upper("seq").alias("_seq"), (F.length("seq") - k + 1).alias("_n")).filter(F.col("_n") > 0)
-    df = df.withColumn("_start", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(size)))).withColumn("_lead", F.greatest(F.col("_start") - (w - 1), F.lit(0)))
-    stop = F.least(F.col("_n"), F.col("_start") + size + w - 1)
-    df = df.select(*by, "_n", "_start", "_lead", F.substring(F.col("_seq"), F.col("_lead") + 1, stop - F.col("_lead") + k - 1).alias("_piece")).repartition(*by, "_start")
-
-    def code(kmer: Column) -> Column:
-        """Hash and strand in one number; null with other letters."""
-        both = F.array(integer_hash(_packed(kmer), 2 * k) * 2, integer_hash(_packed(revcomp(kmer)), 2 * k) * 2 + 1)
-        return F.when(~kmer.rlike("[^ACGT]"), F.array_min(both))
-
-    last = F.greatest(F.col("_n") - w, F.lit(0))
-    each = lambda xs: F.sequence(F.lit(0), F.size(xs) - 1)
-
-    def chosen(h: Column) -> Column:
-        lows = F.transform(each(h), lambda i: F.when(F.col("_lead") + i <= last, F.shiftright(F.array_min(F.slice(h, i + 1, w)), 1)))
-        top = lambda m, i: F.array_max(F.slice(m, F.greatest(i - w + 2, F.lit(1)), F.least(i + 1, F.lit(w))))
-        items = _let(lows, lambda m: F.transform(each(h), lambda i: F.struct((F.col("_lead") + i).alias("pos"), F.get(h, i).alias("code"), top(m, i).alias("top"))))
-        own = lambda x: (x["pos"] >= F.col("_start")) & (x["pos"] < F.col("_start") + size)
-        return F.filter(items, lambda x: own(x) & (F.shiftright(x["code"], 1) == x["top"]))
-
-    rows = df.select(*by, F.explode(_let(F.transform(kmers(F.col("_piece"), k), code), chosen)).alias("x"))
-    return rows.select(*by, F.col("x.pos").cast("long").alias("pos"), F.col("x.code").bitwiseAND(F.lit(1)).cast("int").alias("strand"), F.col("x.top").alias("hash"))
+    by = list(by)
+    df = pieces(texts.filter(F.length("seq") >= k).select(*by, F.upper("seq").alias("seq")), by, size, w - 1, w + k - 2, k - 1)
+    schema = T.StructType([*(df.schema[c] for c in by), T.StructField("pos", T.LongType()), T.StructField("strand", T.IntegerType()), T.StructField("hash", T.LongType())])
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = [s.encode("ascii", "replace") for s in b.column("piece").to_pylist()]
+            sizes = np.array([len(s) for s in seqs], np.int64)
+            group = np.cumsum(sizes) // AT_ONCE
+            start, n = (b.column(c).to_numpy().astype(np.int64) for c in ("start", "length"))
+            for g in np.unique(group):
+                a, z = np.searchsorted(group, [g, g + 1])
+                lead = np.maximum(start[a:z] - (w - 1), 0)
+                row, pos, strand, top = _chosen(np.frombuffer(b"".join(seqs[a:z]), np.uint8), sizes[a:z], lead, start[a:z], n[a:z] - k + 1, k, w, size)
+                at = pa.array(row + a)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in by), pa.array(pos), pa.array(strand), pa.array(top)], names=schema.names)
+
+    return df.mapInArrow(sketch, schema)
 
 
 def minimizer_places(reads: DataFrame, index: DataFrame, most: int, band: int = 64) -> DataFrame:
@@ -75,9 +104,10 @@ def minimizer_places(reads: DataFrame, index: DataFrame, most: int, band: int =
     index: of minimizers. Hashes at more than most of its places are left out, as the method has it. Ties go to the first
     contig, strand and band.
     """
-    rare = index.join(index.groupBy("hash").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") <= most).select("hash"), "hash")
+    # Spark takes the counts for small, because it sees the size of the texts' tables only, and would send all of them through the driver.
+    rare = index.join(index.groupBy("hash").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") <= most).select("hash").hint("merge"), "hash")
     r = rare.select("hash", "contig", F.col("pos").alias("_r"), F.col("strand").alias("_s"))
-    hits = reads.join(r, "hash").select("read_id", "contig", (F.col("strand") != F.col("_s")).cast("int").alias("strand"), F.when(F.col("strand") == F.col("_s"), F.col("_r") - F.col("pos")).otherwise(F.col("_r") + F.col("pos")).alias("_d"))
+    hits = reads.join(r.hint("merge"), "hash").select("read_id", "contig", (F.col("strand") != F.col("_s")).cast("int").alias("strand"), F.when(F.col("strand") == F.col("_s"), F.col("_r") - F.col("pos")).otherwise(F.col("_r") + F.col("pos")).alias("_d"))
     at = F.floor(F.col("_d") / band)
     counted = hits.withColumn("band", F.explode(F.array(at - 1, at))).groupBy("read_id", "contig", "strand", "band").agg(F.count(F.lit(1)).alias("n"))
     best = counted.groupBy("read_id").agg(F.min_by(F.struct("contig", "strand", "band", "n"), F.struct(-F.col("n"), "contig", "strand", "band")).alias("b"))

@@ -235,6 +235,22 @@ def test_minimizers(spark):
         mz.minimizers(df, ["contig"], 8, 5)
 
 
+def test_minimizer_joins_send_no_index(spark):
+    """Neither the index nor its counts go through the driver, however small Spark takes them to be."""
+    df = q.queries()["minimizer_places"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "hash#" in x] and "SortMergeJoin [hash#" in plan
+
+
+def test_pieces_are_those_of_the_text(spark):
+    from strandloom.operators.cutting import pieces
+
+    rng = random.Random(8)
+    texts = {"a": dna(130, rng), "b": dna(50, rng), "c": "", "d": None, "e": "é" * 60}
+    got = {(r["by"], r["start"], r["length"], r["piece"]) for r in pieces(spark.createDataFrame(list(texts.items()), "by string, seq string"), ["by"], 50, 3, 7, 2).collect()}
+    assert got == {(n, i, len(s), s[max(0, i - 3) : i + 57]) for n, s in texts.items() if s for i in range(0, len(s) - 2, 50)}
+
+
 def test_reads_are_placed(spark):
     got = q.queries()["align_se"](spark, SF).filter("mapq > 0").select("read_id", "contig", "pos", "cigar", "nm")
     from strandloom.plans.fixture import reads
