@@ -235,6 +235,33 @@ def test_minimizers(spark):
         mz.minimizers(df, ["contig"], 8, 5)
 
 
+def test_shards_of_suffixes_find_the_same(spark, monkeypatch):
+    """Repeats, ties and reads over the edges of pieces: shards add up to what one finds, and intervals to the matches."""
+    from strandloom.operators import suffixes
+
+    rng = random.Random(12)
+    unit = dna(32, rng)
+    ref = [("a", "".join(dna(rng.randrange(20, 60), rng) + unit for _ in range(60)) + "N" * 9 + dna(200, rng)), ("b", dna(700, rng) + unit * 3), ("c", "ACG")]
+    reads = [(i, (s := rng.choice(ref[:2])[1])[(a := rng.randrange(len(s) - 100)) : a + rng.randrange(30, 100)]) for i in range(120)] + [(500, "ACGT"), (501, "N" * 40), (502, None)]
+    reads = [(i, s[:20] + "A" + s[21:] if s and i % 3 == 0 else s) for i, s in reads]
+    r, f = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(ref, "contig string, seq string")
+
+    def found():
+        m = seeding.mems(r, f, 19)
+        every = sorted(map(tuple, m.collect()))
+        assert sorted(map(tuple, seeding.intervals(r, f, 19).collect())) == sorted(map(tuple, m.groupBy("read_id", "qbeg", "qend").count().collect()))
+        assert sorted(map(tuple, seeding.sampled_mems(r, f, 19, 3).collect())) == sorted(map(tuple, seeding.stride_sample(m, 3).collect()))
+        best = sorted(map(tuple, seeding.best_placements(m, r, f).collect()))
+        assert sorted(map(tuple, seeding.best_placements(seeding.best_diagonals(r, f, 19), r, f).collect())) == best
+        return every, best
+
+    one = found()
+    assert len(one[0]) > 2000
+    monkeypatch.setattr(suffixes, "SHARD", 1 << 12)
+    monkeypatch.setattr(suffixes, "PIECE", 1 << 9)
+    assert found() == one
+
+
 def test_minimizer_joins_send_no_index(spark):
     """Neither the index nor its counts go through the driver, however small Spark takes them to be."""
     df = q.queries()["minimizer_places"](spark, SF)
