@@ -9,8 +9,8 @@ The models are dealt to shards of about CELLS numbers by a 4-gram's third letter
 share (only single letters are in every shard); letters with more than that are dealt by the second one too. A shard is
 sent to every worker, and each is one pass over the texts whose sums are added to those before (written to the shared
 folder between passes), so nothing is cut and only a shard is held at a time. Languages are a dictionary: their names go to the driver.
-Rejection is calibrated on a sample of at most CALIBRATE different training texts: score is a softmax whose temperature
-scales the gap to the runner-up by its typical size, and rejected marks texts whose cross-entropy lies over REJECT_SD
+Every document is scored once and its sums are stored. Rejection is calibrated on those of all training texts: score is a
+softmax whose temperature scales the gap to the runner-up by its median, and rejected marks texts whose cross-entropy lies over REJECT_SD
 standard deviations beyond their language's mean.
 
 Nulls: a null text, or one without a letter, is und with score 0; null lang is not learned from; ids may be null (then
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import discard, field, per_row, stored
 
-ORDER, CALIBRATE, REJECT_SD = 4, 2000, 6.0
+ORDER, REJECT_SD = 4, 6.0
+#: Parts of a nat in which gaps between languages are counted.
+GAPS = 1 << 12
 CELLS = 1 << 24
 DISCOUNT = 0.75
 SLICE = 1 << 20
@@ -182,16 +184,14 @@ class Models:
         flush()
         return total, n
 
-    def calibrate(self, sums: np.ndarray, n: np.ndarray, langs: list[str]) -> None:
-        means = sums / np.maximum(n, 1)[:, None]
-        own = np.array([self.langs.index(x) for x in langs], int)
-        for j in range(len(self.langs)):
-            h = -means[(own == j) & (n > 0), j]
-            if len(h) > 4:
-                self.mean[j], self.sd[j] = h.mean(), max(h.std(), 0.05)
-        if len(self.langs) > 1 and (n > 0).any():
-            two = np.sort(means[n > 0], axis=1)[:, -2:]
-            self.gap = max(float(np.median(two[:, 1] - two[:, 0])), 1e-3)
+    def calibrate(self, typical: dict[str, tuple[int, float, float]], gap: float | None) -> None:
+        """typical: of each language its number of training texts, mean and deviation of their cross-entropy. gap: median gap of all to the runner-up."""
+        for j, lang in enumerate(self.langs):
+            count, mean, sd = typical.get(lang, (0, 0.0, 0.0))
+            if count > 4:
+                self.mean[j], self.sd[j] = mean, max(sd, 0.05)
+        if len(self.langs) > 1 and gap is not None:
+            self.gap = max(gap, 1e-3)
 
     def predict(self, sums: np.ndarray, n: np.ndarray) -> list[list]:
         means = sums / np.maximum(n, 1)[:, None]
@@ -260,8 +260,8 @@ def _layers(t: pa.Table, models: Models) -> list[Layer]:
     return layers(j[four], k[four], n[four], j[~four], k[~four], n[~four], models.letters)
 
 
-def train(rows: DataFrame) -> tuple[Models, Callable[[int], list[Layer]], tuple[list[str], list[str]]]:
-    """rows: text and lang of the training documents. Returns models without a shard, the layers of each shard, and the calibration sample."""
+def train(rows: DataFrame) -> tuple[Models, Callable[[int], list[Layer]], int]:
+    """rows: text and lang of the training documents. Returns models without a shard, the layers of each shard, and the number of 4-grams."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     counts = stored(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
     size = [(r["lang"], r["count"]) for r in counts.groupBy("lang").count().collect()]
@@ -299,42 +299,63 @@ def train(rows: DataFrame) -> tuple[Models, Callable[[int], list[Layer]], tuple[
             found = built.filter(F.col("shard") == k).select("layers").collect()
             return pickle.loads(found[0][0]) if found else []
 
-    sample: tuple[list[str], list[str]] = ([], [])
-    if langs:
-        mark = F.xxhash64("text", "lang")
-        share = max(1, rows.agg(F.approx_count_distinct(mark)).first()[0] // CALIBRATE)
-        t = rows.filter(F.pmod(mark, F.lit(share)) == 0).distinct().orderBy(mark, "text", "lang").limit(CALIBRATE).toArrow()
-        sample = t.column("text").to_pylist(), t.column("lang").to_pylist()
-    return models, of, sample
+    return models, of, sum(n for _, n in size)
+
+
+def _typical(b: pa.RecordBatch, langs: list[str]) -> list:
+    """Of training texts their cross-entropy in their own language, and the gap to the runner-up in GAPS parts."""
+    sums, n = _summed(b, len(langs))
+    means = sums / np.maximum(n, 1)[:, None]
+    own = [langs.index(x) if x in langs else -1 for x in b.column("lang").to_pylist()]
+    two = np.sort(means, axis=1)[:, -2:]
+    gaps = ((two[:, -1] - two[:, 0]) * GAPS).round().astype(np.int64).tolist()
+    return [[float(-m[j]) if j >= 0 and size else None for m, j, size in zip(means, own, n, strict=True)], [g if size else None for g, size in zip(gaps, n, strict=True)]]
+
+
+def _summed(b: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(b.column("_sums").to_pylist()), "<f8").reshape(b.num_rows, size), b.column("_n").to_numpy()
+
+
+def calibrate(models: Models, scored: DataFrame) -> None:
+    """Calibrates by all training texts: the rows of scored (lang, _sums, _n) that have a lang."""
+    langs = models.langs
+    if not langs:
+        return
+    rows = per_row(scored.filter(F.col("lang").isNotNull()), ["lang"], [field("h", "double"), field("gap", "long")], lambda b: _typical(b, langs))
+    rows = rows.filter(F.col("h").isNotNull())
+    own = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg("h").alias("mean"), F.stddev_pop("h").alias("sd")).collect()
+    typical = {r["lang"]: (r["n"], r["mean"], r["sd"]) for r in own}
+    # A row for each gap: few, whatever the number of texts.
+    total, gap, so_far = sum(r["n"] for r in own), None, 0
+    for r in rows.groupBy("gap").count().orderBy("gap").collect():
+        so_far += r["count"]
+        if 2 * so_far >= total:
+            gap = r["gap"] / GAPS
+            break
+    models.calibrate(typical, gap)
 
 
 def language_table(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected."""
     held_out = F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False))
-    models, of, (texts, langs) = train(docs.filter(~held_out))
-    df = docs.select("doc_id", held_out.alias("held_out"), "text")
-    spark, stage, size, total, n = docs.sparkSession, None, len(models.langs), 0.0, np.zeros(0, np.int64)
+    models, of, _ = train(docs.filter(~held_out))
+    df = docs.select("doc_id", held_out.alias("held_out"), F.when(~held_out & F.col("text").isNotNull(), F.col("lang")).alias("lang"), "text")
+    spark, stage, size = docs.sparkSession, None, len(models.langs)
     for k in range(models.shards):
-        if k:
-            df = stored(df, "language")
-            if stage is not None:
-                discard(stage)
-            stage = df
         models.shard, models.orders = k, of(k)
-        sums, n = models.sums(texts)
-        total = total + sums
-        last_one = k == models.shards - 1
-        if last_one and texts:
-            models.calibrate(total, n, langs)
         sent = spark.sparkContext.broadcast(models)
 
-        def scored(b: pa.RecordBatch, sent=sent, k=k) -> tuple[np.ndarray, np.ndarray]:
+        def scored(b: pa.RecordBatch, sent=sent, k=k) -> list:
             sums, n = sent.value.sums(b.column("text").to_pylist())
             if k:
-                sums += np.array([np.frombuffer(x, "<f8") for x in b.column("_sums").to_pylist()]).reshape(-1, size)
-            return sums, n
-
-        if last_one:
-            return per_row(df, ["doc_id", "held_out"], [field("lang_pred", "string"), field("score", "double"), field("rejected", "boolean")], lambda b, sent=sent, scored=scored: sent.value.predict(*scored(b)))
-        df = per_row(df, ["doc_id", "held_out", "text"], [field("_sums", "binary")], lambda b, scored=scored: [[x.tobytes() for x in scored(b)[0].astype("<f8")]])
-    raise AssertionError("no shard")
+                sums += _summed(b, size)[0]
+            return [[x.tobytes() for x in sums.astype("<f8")], n]
+
+        keep = ["doc_id", "held_out", "lang"]
+        df = stored(per_row(df, keep if k == models.shards - 1 else [*keep, "text"], [field("_sums", "binary"), field("_n", "long")], scored), "language")
+        if stage is not None:
+            discard(stage)
+        stage = df
+    calibrate(models, df)
+    models.orders = []
+    return per_row(df, ["doc_id", "held_out"], [field("lang_pred", "string"), field("score", "double"), field("rejected", "boolean")], lambda b: models.predict(*_summed(b, size)))

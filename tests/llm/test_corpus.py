@@ -309,6 +309,28 @@ def plain_language(train):
     return lambda t: {x: float(np.mean([np.log(p(x, g, 4)) for g in language.grams(language.padded(language.codes(t))).tolist()])) for x in models}
 
 
+def test_language_is_calibrated_on_all_training_texts(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice("abcdefgh " if i % 2 else "hijklmno ") for _ in range(rng.randint(12, 40))), "en" if i % 2 else "xx") for i in range(4500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    used = []
+    inner = language.Models.calibrate
+    monkeypatch.setattr(language.Models, "calibrate", lambda self, *a: (used.append((self, *a)), inner(self, *a))[1])
+    language.language_table(docs).count()
+    models, typical, gap = used[0]
+    train = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert {x: typical[x][0] for x in typical} == collections.Counter(x for _, x in train) and len(train) > 2500
+    learned, of, _ = language.train(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"))
+    learned.orders = of(0)
+    sums, n = learned.sums([t for t, _ in train])
+    means = sums / n[:, None]
+    for j, x in enumerate(learned.langs):
+        h = np.array([-m[j] for m, (_, y) in zip(means, train, strict=True) if y == x])
+        assert typical[x][1:] == pytest.approx((h.mean(), h.std()), abs=1e-6)
+    two = np.sort(means, axis=1)
+    assert gap == pytest.approx(np.median(two[:, 1] - two[:, 0]), abs=1e-3)
+
+
 def test_language_shards(spark, monkeypatch):
     rng = random.Random(3)
     scripts = {"zh": [chr(0x4E00 + i) for i in range(300)] + [" "] * 60, "ja": [chr(0x4E00 + i) for i in range(150)] + [chr(0x3042 + i) for i in range(60)], "en": list("abcdefghij ")}
