@@ -35,9 +35,10 @@ def record_lines(records: DataFrame, soft: bool = False, group: str | None = Non
     """
     none = F.lit(None).cast(CIGAR)
     records = records.withColumn("cigar", F.when(F.col("contig").isNotNull(), F.col("cigar")))
-    named = supplementary_tags(records.withColumn("read_id", F.concat_ws("/", "qname", "mate")))
+    # By the columns that the mates are joined by: records are shuffled once for both.
+    named = supplementary_tags(records, ["qname", "mate"])
     first = records.filter("record = 0").select("qname", (1 - F.col("mate")).alias("mate"), F.struct("contig", "pos", "is_rev", "is_alt", "cigar").alias("_m"))
-    df = named.join(first, ["qname", "mate"], "left")
+    df = named.join(first.hint("merge"), ["qname", "mate"], "left")
     paired, lost, mate_lost = F.col("_m").isNotNull(), F.col("contig").isNull(), F.col("_m").isNotNull() & F.col("_m.contig").isNull()
     # Each end that isn't mapped borrows the other's place.
     df = df.withColumns({

@@ -7,7 +7,7 @@ hash. Every window and join carries the pair, so a pair's regions meet in one ta
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -166,11 +166,11 @@ def kept_secondaries(records: DataFrame, every: bool = False, o: Options = Optio
     return primary.unionByName(near.select(*records.columns))
 
 
-def supplementary_tags(records: DataFrame) -> DataFrame:
-    """records (read_id, record, flag, contig, pos from 0, is_rev, cigar array, mapq, nm) with sa: all other records of the read that aren't secondary, or null."""
+def supplementary_tags(records: DataFrame, by: Sequence[str] = ("read_id",)) -> DataFrame:
+    """records (by, record, flag, contig, pos from 0, is_rev, cigar array, mapq, nm) with sa: all other records of the read that aren't secondary, or null."""
     entry = F.concat(F.concat_ws(",", "contig", (F.col("pos") + 1).cast("string"), F.when(F.col("is_rev"), "-").otherwise("+"), cigar_text(F.col("cigar")), F.col("mapq").cast("string"), F.col("nm").cast("string")), F.lit(";"))
     plain = F.col("flag").bitwiseAND(0x100) == 0
-    every = F.collect_list(F.when(plain, F.struct("record", entry.alias("e")))).over(Window.partitionBy("read_id"))
+    every = F.collect_list(F.when(plain, F.struct("record", entry.alias("e")))).over(Window.partitionBy(*by))
     others = F.filter(F.array_sort("_every"), lambda x: x["record"] != F.col("record"))
     text = F.array_join(F.transform(others, lambda x: x["e"]), "")
     return records.withColumn("_every", every).withColumn("sa", F.when(plain, F.nullif(text, F.lit("")))).drop("_every")

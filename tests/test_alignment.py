@@ -262,6 +262,12 @@ def test_shards_of_suffixes_find_the_same(spark, monkeypatch):
     assert found() == one
 
 
+def test_records_are_shuffled_once_for_tags_and_mates(spark):
+    plan = q.queries()["pair_records"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines_ = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("qname" in x and "mate" in x for x in lines_) == 2 and not any("read_id" in x for x in lines_)
+
+
 def test_minimizer_joins_send_no_index(spark):
     """Neither the index nor its counts go through the driver, however small Spark takes them to be."""
     df = q.queries()["minimizer_places"](spark, SF)
