@@ -294,6 +294,135 @@ def test_reads_are_placed(spark):
     assert any("D" in r["cigar"] for r in right) and any(r["nm"] == 1 for r in right)
 
 
+def test_align_se_is_the_same_in_shards_and_without_shuffle(spark, monkeypatch):
+    """Regions don't leave the batch of their read: nothing is joined or sorted behind the scan. Several shards give the same rows."""
+    from strandloom.operators import suffixes
+
+    whole = q.queries()["align_se"](spark, SF)
+    behind = whole._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert behind and not [x for x in ("Join", "Window", "Aggregate", "Sort", "Repartition") if x in behind]
+    monkeypatch.setattr(suffixes, "SHARD", 1 << 12)
+    rows = whole.collect()
+    assert len(rows) == 1671 and sorted(rows) == sorted(q.queries()["align_se"](spark, SF).select(whole.columns).collect())
+
+
+def test_chains_of_arrays_are_those_of_rows(spark):
+    import numpy as np
+
+    from strandloom.operators import chaining
+    from strandloom.plans import align
+
+    rng = random.Random(21)
+    seen = set()
+    for _ in range(4000):
+        b, n = rng.randrange(80), rng.choice([19, 20, 32, 45, 64, 90])
+        seen.add((rng.randrange(60), rng.randrange(2), b, b + n, rng.choice([0, 300, 900, 40_000]) + rng.randrange(200) + b))
+    rows = sorted(seen, key=lambda r: (r[0], r[2], r[3]))
+    df = spark.createDataFrame([(r, "c", s, b, e, p, p - b) for r, s, b, e, p in rows], "read_id long, contig string, strand int, qbeg int, qend int, rbeg int, diag int")
+    row, text, qbeg, qend, rbeg = (np.array(x) for x in zip(*rows, strict=True))
+    got = chaining.chained(row, text, qbeg, qend, rbeg, O)
+    want = align.chains(df, O)
+    names = ["read_id", "strand", "chain", "qbeg", "qend", "rbeg", "cb", "ce", "weight"]
+    assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(map(tuple, want.select(names).collect()))
+    left = chaining.filtered(got, O)
+    assert sorted(zip(*(x.tolist() for x in left), strict=True)) == sorted(map(tuple, align.filter_chains(want, O).select(names).collect()))
+    assert 0 < len(left.row) < len(got.row)
+
+
+def _jobs(rng, n):
+    """read, seed's begin and end, its begin on the target, target: flanks that are random, alike, alike behind a difference, or hold N."""
+
+    def changed(s):
+        s = list(s)
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5])):
+            k = rng.randrange(len(s) + 1)
+            s[k : k + rng.randint(0, 3)] = dna(rng.randint(0, 3), rng)
+        return "".join(s)
+
+    for _ in range(n):
+        left, seed, right = dna(rng.randint(0, 90), rng), dna(rng.randint(19, 80), rng), dna(rng.randint(0, 90), rng)
+        before, behind = dna(rng.randint(0, 2 * len(left)), rng), dna(rng.randint(0, 2 * len(right)), rng)
+        kind = rng.randrange(4)
+        if kind == 1:
+            before, behind = dna(len(left), rng) + changed(left), changed(right) + dna(len(right), rng)
+        elif kind == 2:
+            unit = dna(rng.randint(5, 40), rng)
+            left, before, right, behind = left[:30] + unit + "A", before + unit + "CG"[: rng.randint(1, 2)], "T" + unit + right[:30], "GC"[: rng.randint(1, 2)] + unit + behind
+        elif kind == 3:
+            left, behind = left[: len(left) // 2] + "NNN" + left[len(left) // 2 :], behind[: len(behind) // 2] + "N" + behind[len(behind) // 2 :]
+        yield left + seed + right, len(left), len(left) + len(seed), len(before), before + seed + behind
+
+
+def _arrays(texts):
+    import numpy as np
+
+    from strandloom.operators import sides
+
+    size = np.array([len(x) for x in texts])
+    return sides.CODES[np.frombuffer("".join(texts).encode(), np.uint8)], np.cumsum(size) - size, size
+
+
+def test_sides_without_program_equal_those_with_it(monkeypatch):
+    """Most sides next to repeats need no dynamic program, and no region differs from the one by the program alone."""
+    import numpy as np
+
+    from strandloom.operators import sides
+
+    jobs, calls = list(_jobs(random.Random(22), 3000)), []
+    reads, qbeg, qend, rbeg, targets = zip(*jobs, strict=True)
+    (codes, read, size), (t, start, n) = _arrays(reads), _arrays(targets)
+
+    def program(queries, *rest):
+        calls.append(len(queries))
+        return x.banded(queries, *rest)
+
+    def regions():
+        calls.clear()
+        r = sides.regions(codes, read, size, t, start, start + n, np.array(qbeg), np.array(qend), start + np.array(rbeg), O, program)
+        return [a.tolist() for a in r]
+
+    got, few = regions(), sum(calls)
+    monkeypatch.setattr(sides, "screens", lambda o: False)
+    assert got == regions() and 0 < few < 0.7 * sum(calls)
+
+
+def test_spelling_of_many_equals_that_of_one():
+    import numpy as np
+
+    from strandloom.operators import lanes, spelling
+
+    rng = random.Random(23)
+    pairs = [(j[0][: rng.randint(1, 60)], j[4][: rng.randint(1, 70)]) for j in _jobs(rng, 300)]
+    for _ in range(700):
+        t = dna(rng.randint(4, 90), rng)
+        k, n = rng.randrange(1, len(t)), rng.randint(0, 3)
+        s = t[:k] + rng.choice(["", "", "A", "CA", "N"]) + t[k + n :]
+        pairs.append((s[: len(s) // 3] + rng.choice("ACGT") + s[len(s) // 3 + 1 :], t) if rng.random() < 0.3 else (s, t))
+    queries, targets = map(list, zip(*pairs, strict=True))
+    for o in (O, Options(band=3)):
+        for s, t, (back, width) in zip(queries, targets, lanes.global_many(queries, targets, o), strict=True):
+            assert x.traced(back, len(s), len(t), width) == x.align_global(s, t, o)[1]
+    (codes, qb, m), (t_codes, tb, n) = _arrays(queries), _arrays(targets)
+    head, tail, strand = (np.array([rng.choice(c) for _ in pairs]) for c in ((0, 0, 5), (0, 7), (0, 1)))
+    cigar, nm, md = spelling.spelled(codes, qb, m, t_codes, tb, n, head, tail, strand, O)
+    for k, (s, t) in enumerate(pairs):
+        ops = [("M", len(s))] if len(s) == len(t) and sum(a != b for a, b in zip(s, t, strict=True)) <= 1 else x.align_global(s, t, O)[1]
+        assert (cigar[k], nm[k], md[k]) == (spelling.text_of(ops, head[k], tail[k], strand[k]), *x.describe(s, t, ops))
+
+
+def test_array_hashes_are_sparks(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from strandloom.operators import alignment
+
+    names = ["", "ctg1", "chr10_long", "a contig of more than thirty-two letters, é"]
+    rows = [(i * 7919 - 9000, names[i % 4], i % 2, i // 3 + 1) for i in range(200)]
+    df = spark.createDataFrame(rows, "read_id long, contig string, strand int, chain long").select("*", F.xxhash64("read_id").alias("h"), F.xxhash64("read_id", "contig", "strand", "chain").alias("job")).collect()
+    got = alignment.job_ids(np.array([r["h"] for r in df]), names, np.array([names.index(r["contig"]) for r in df]), np.array([r["strand"] for r in df]), np.array([r["chain"] for r in df]))
+    assert got.tolist() == [r["job"] for r in df]
+
+
 def test_option_texts():
     from strandloom import options
 
