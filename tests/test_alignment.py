@@ -262,6 +262,26 @@ def test_shards_of_suffixes_find_the_same(spark, monkeypatch):
     assert found() == one
 
 
+@pytest.mark.parametrize("mapped_files", [True, False])
+def test_reads_are_scanned_once_over_a_large_reference(spark, monkeypatch, mapped_files):
+    """Over several shards' places files are mapped: one scan, rounds and placements in it. Where only Spark reads the folder, shards give the same rows."""
+    from strandloom.operators import mapped, suffixes
+
+    names = ("seed_union", "best_placement", "seed_stride_sample", "mem_seeds")
+    rows = lambda n: sorted(map(tuple, q.queries()[n](spark, SF).collect()))
+    want = {n: rows(n) for n in names}
+    monkeypatch.setattr(suffixes, "SHARD", 1 << 12)
+    for x, n in (("SLICE", 21 << 6), ("COUNTED", 1 << 10), ("SORTED", 1 << 10)):
+        monkeypatch.setattr(mapped, x, n)
+    if mapped_files:
+        for n in ("seed_union", "best_placement"):
+            plan = q.queries()[n](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("MapInArrow") == 1 and not [x for x in ("Join", "Window", "Aggregate", "Union", "Repartition") if x in plan]
+    else:
+        monkeypatch.setattr(mapped, "folder", lambda spark: None)
+    assert {n: rows(n) for n in names} == want
+
+
 def test_records_are_shuffled_once_for_tags_and_mates(spark):
     plan = q.queries()["pair_records"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     lines_ = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
