@@ -326,6 +326,52 @@ def test_align_se_is_the_same_in_shards_and_without_shuffle(spark, monkeypatch):
     assert len(rows) == 1671 and sorted(rows) == sorted(q.queries()["align_se"](spark, SF).select(whole.columns).collect())
 
 
+@pytest.mark.parametrize("staged", [False, True])
+def test_align_se_merges_collinear_regions(spark, monkeypatch, staged):
+    """A read over a deletion that is longer than the band makes two chains, whose regions become one; a read without it stays."""
+    import re
+
+    from strandloom.operators import mapped, suffixes
+    from strandloom.plans import align
+
+    rng = random.Random(4)
+    text = dna(9000, rng)
+    reads = spark.createDataFrame([(1, text[1000:3000] + text[3150:5150]), (2, text[6000:6500])], "read_id long, seq string")
+    if staged:
+        monkeypatch.setattr(suffixes, "SHARD", 1 << 13)
+        monkeypatch.setattr(mapped, "folder", lambda spark: None)
+    got = align.align_se(reads, spark.createDataFrame([("c", text)], "contig string, seq string")).select("read_id", "pos", "qb", "qe", "score", "cigar", "nm").collect()
+    (one, two) = sorted(map(tuple, got))
+    assert one[:5] == (1, 1000, 0, 4000, 4000 - 6 - 150) and one[6] == 150 and sum(int(n) for n in re.findall(r"(\d+)M", one[5])) == 4000 and "150D" in one[5]
+    assert two == (2, 6000, 0, 500, 500, "500M", 0)
+
+
+def test_regions_of_arrays_settle_like_those_of_rows():
+    from strandloom.operators import alignment, redundancy, sides
+
+    rng, o = random.Random(9), Options(band=10, max_chain_gap=60)
+    text = dna(400, rng)
+    reads = [text[(a := rng.randrange(0, 200)) : a + 60] + text[a + 64 : a + 120] for _ in range(60)]
+    q, read, _ = alignment.joined(reads)
+    t, start, _ = alignment.joined([text])
+    rows = []
+    for k, s in enumerate(reads):
+        a = text.index(s[:60])
+        for _ in range(rng.randrange(1, 7)):
+            qb, size = rng.randrange(0, 70), rng.randrange(10, 46)
+            rb = a + qb + (4 if qb > 60 else 0) + rng.choice([0, 0, 0, 1])
+            rows.append((k, qb, min(len(s), qb + size), rb, rb + size + rng.choice([0, 0, 2]), size, len(rows)))
+    row, qb, qe, rb, re_, score, job = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+    at, r = alignment.settled(q, read[row], t, np.zeros(len(row), np.int64) + start[0], row, np.zeros(len(row), np.int64), sides.Regions(qb, qe, rb, re_, score), job, o)
+    got = sorted(zip(*(x[at].tolist() for x in (row, job, *r)), strict=True))
+    want = []
+    for k, s in enumerate(reads):
+        for x in redundancy.settle([dict(zip(("qb", "qe", "rb", "re", "score", "job"), y[1:], strict=True)) for y in rows if y[0] == k], s, text, 0, o):
+            want.append((k, x["job"], x["qb"], x["qe"], x["rb"], x["re"], x["score"]))
+    changed = {(x[6], x[1]) for x in rows}
+    assert got == sorted(want) and len(want) < len(rows) and any((x[1], x[2]) not in changed for x in want)
+
+
 def test_chains_of_arrays_are_those_of_rows(spark):
     import numpy as np
 
