@@ -128,7 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "seed_union": lambda s, d: _rounds(s, d, 1, 2, 3).withColumns({c: F.col(c).cast("long") for c in ("qbeg", "qend")}),
         "seeds_round3": lambda s, d: _rounds(s, d, 3).drop("round"),
         "minimizer_index": lambda s, d: minimizers.minimizers(contigs(s, d), ["contig"]),
-        "minimizer_places": lambda s, d: minimizers.minimizer_places(minimizers.minimizers(reads(s, d), ["read_id"], 15, 5), minimizers.minimizers(contigs(s, d), ["contig"], 15, 5), 20),
+        "minimizer_places": lambda s, d: minimizers.placed(reads(s, d), contigs(s, d), 15, 5, 20),
         "concordance_json": lambda s, d: records.concordance(records.primary_records(_sam(s, d, False)), records.primary_records(_sam(s, d, True))).select(F.to_json(F.struct("compared", "only_expected", "only_ours", "all_equal")).alias("report")),
         "revcomp": lambda s, d: reads(s, d).select("read_id", fs.revcomp(F.col("seq")).alias("rc"), fs.nt4(F.lower("seq")).alias("nt4")),
         "nt4_histogram": lambda s, d: intervals.base_histogram(seeding.both_strands(contigs(s, d))),

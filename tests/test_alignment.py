@@ -295,6 +295,25 @@ def test_minimizer_joins_send_no_index(spark):
     assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "hash#" in x] and "SortMergeJoin [hash#" in plan
 
 
+def test_minimizers_of_a_large_reference_are_looked_up_without_shuffle(spark, monkeypatch):
+    from strandloom.operators import minimizers as mz
+
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(q.queries()["minimizer_places"](spark, SF))
+    monkeypatch.setattr(mz, "LARGE", 0)
+    monkeypatch.setattr(mz, "FILE", 1 << 9)
+    df = q.queries()["minimizer_places"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("MapInArrow")[0] and not [x for x in plan.splitlines() if "Join" in x and "hash#" in x]
+    assert df.dtypes == [("read_id", "bigint"), ("contig", "string"), ("strand", "int"), ("band", "bigint"), ("n", "bigint")] and rows(df) == want and len(want) > 1000
+    # Letters of both cases, reads before a text's begin, none, short and unknown ones.
+    rng = random.Random(3)
+    ref = [("a", dna(500, rng).lower() + "N" * 20 + dna(300, rng)), ("b", dna(400, rng))]
+    reads = [(i, dna(rng.randrange(0, 90), rng) + (s := rng.choice(ref)[1])[(a := rng.randrange(0, 300)) : a + 60]) for i in range(60)] + [(90, None), (91, "ACG"), (92, "N" * 50)]
+    r, f = spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(ref, "contig string, seq string")
+    assert rows(mz.placed(r, f, 15, 5, 20)) == rows(mz.minimizer_places(mz.minimizers(r, ["read_id"], 15, 5), mz.minimizers(f, ["contig"], 15, 5), 20))
+
+
 def test_pieces_are_those_of_the_text(spark):
     from strandloom.operators.cutting import pieces
 
