@@ -282,6 +282,16 @@ def test_reads_are_scanned_once_over_a_large_reference(spark, monkeypatch, mappe
     assert {n: rows(n) for n in names} == want
 
 
+def test_reads_inside_of_frequent_repeats_are_placed(spark):
+    """A read whose whole match is frequent goes to its first place, not to that of a rare part."""
+    rng = random.Random(8)
+    unit = dna(80, rng)
+    ref = spark.createDataFrame([("a", dna(50, rng) + unit[10:40] + dna(50, rng)), ("b", "".join(dna(30, rng) + unit for _ in range(25)))], "contig string, seq string")
+    reads = spark.createDataFrame([(1, unit), (2, unit[5:60])], "read_id long, seq string")
+    got = sorted(map(tuple, seeding.placements(reads, ref, 19).collect()))
+    assert got == [(1, "b", 0, 30, 80), (2, "b", 0, 35, 55)]
+
+
 def test_records_are_shuffled_once_for_tags_and_mates(spark):
     plan = q.queries()["pair_records"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     lines_ = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
